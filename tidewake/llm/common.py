@@ -51,6 +51,13 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get at most 2,000 rows at once, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 2000:
+        spark.conf.set(key, "2000")
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' code points in one uint32 array, and the offsets (one more than texts) of each."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))

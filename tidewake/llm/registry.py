@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, urls
+from . import decontaminate, fingerprints, html_text, langid, licenses, ngram_join, pieces, quality, secrets, urls
 from .common import table
 
 
@@ -10,14 +10,57 @@ def op1_secret_scans(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_fingerprints(spark, sf_dir):
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_decontamination, op8_url_filters)}
+def op9_language_id(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_html_extraction,
+        op3_decontamination,
+        op4_license_scans,
+        op5_quality,
+        op6_fingerprints,
+        op7_ngram_join,
+        op8_url_filters,
+        op9_language_id,
+        op10_sentencepiece,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
