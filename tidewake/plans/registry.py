@@ -1,4 +1,6 @@
 """Queries and their SQL oracles, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import trajectory
+
+QUERIES: dict = {**trajectory.QUERIES}
+ORACLE_SQL: dict = {**trajectory.ORACLE_SQL}
