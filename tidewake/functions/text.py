@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .scalars import col
 
@@ -123,7 +124,7 @@ def nickname_of(s: str) -> str:
     return "".join(filter(str.isalnum, folded))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nickname_unicode(s: pd.Series) -> pd.Series:
     return s.map(nickname_of, na_action="ignore")
 
@@ -199,7 +200,7 @@ def entity_blocks(text: Column | str) -> Column:
 
     def block(b):
         keys, values = F.regexp_extract_all(b, F.lit(pair), F.lit(1)), F.regexp_extract_all(b, F.lit(pair), F.lit(2))
-        both = F.zip_with(keys, values, lambda k, v: F.struct(k, v))
+        both = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
         last = F.filter(F.transform(both, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.array_contains(F.slice(keys, x["i"] + 2, F.size(keys)), x["k"]))
         return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
@@ -211,12 +212,12 @@ def escaped_json_string(c: Column | str) -> Column:
     return _ascii_json(col(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_json(s: pd.Series) -> pd.Series:
     return s.map(json.dumps, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no spaces and ASCII escapes; NaN and broken text become null."""
 

@@ -1,6 +1,6 @@
 """Queries and their SQL oracles, by name."""
 
-from . import trajectory
+from . import tables, trajectory
 
-QUERIES: dict = {**trajectory.QUERIES}
-ORACLE_SQL: dict = {**trajectory.ORACLE_SQL}
+QUERIES: dict = {**tables.QUERIES, **trajectory.QUERIES}
+ORACLE_SQL: dict = {**tables.ORACLE_SQL, **trajectory.ORACLE_SQL}
