@@ -114,7 +114,7 @@ def fnv1a(text: Column | str) -> Column:
     64-bit products would overflow, so the hash is kept as two 32-bit halves in longs.
     """
     code = F.hex(F.encode(col(text), "UTF-8"))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.length(code) / 2 - 1), lambda i: F.conv(F.substr(code, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substr(code, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
     bytes_ = F.when(F.length(code) > 0, bytes_).otherwise(F.array().cast("array<bigint>"))
     low32 = F.lit(0xFFFFFFFF)
 

@@ -70,24 +70,20 @@ def decision_step(previous: Column, current: Column, weapons: Sequence[str], poi
     return F.concat(sequence_step(previous, current, weapons, points), memory, landmark_features(current, items), landmark_features(current, packet), tail)
 
 
-def mechanism_step(current: Column, mechanism: Column, edge: Column) -> Column:
-    """26 features of a step near mechanisms: local velocity 3, view 2, speed, ground, hold, the nearest mechanism's
-    place 3, size 3, kind 2, distance, destination or velocity 3, exists; and the last edge's kind 4 and known bit."""
-    yaw = current["yaw"]
-    own = local_frame(current["vx"], current["vy"], current["vz"], yaw, 320.0)
-    centre = [(mechanism[f"l{a}"] + mechanism[f"h{a}"]) / 2 for a in "xyz"]
-    delta = [c - current[a] for c, a in zip(centre, "xyz")]
-    place = local_frame(*delta, yaw, 1280.0)
-    size = [(mechanism[f"h{a}"] - mechanism[f"l{a}"]) / 256 for a in "xyz"]
-    goal = [F.when(mechanism["kind"] == "teleport", (mechanism[f"t{a}"] - current[a]) / 1280).otherwise(mechanism[f"t{a}"] / 1000) for a in "xyz"]
-    far = F.sqrt(sum((d * d for d in delta), F.lit(0.0))) / 1280
+def mechanism_step(row: Column, portal: Column, pad: Column) -> Column:
+    """26 features of a row and its nearest resolved teleport and push (structs with lx ly lz hx hy hz, and tx ty tz:
+    a destination or a launch velocity; null where there is none): local velocity / 1000, view, state, gravity / 800, then
+    each mechanism's centre and exit (or launch) in the view's frame with an exists bit, and a known bit."""
+    yaw = row["yaw"]
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    kind = lambda c, k: F.coalesce((c == k).cast("double"), F.lit(0.0))
+    own = local_frame(row["vx"], row["vy"], row["vz"], yaw, 1000.0)
+    state = [row["pitch"] / 180, F.sin(F.radians(yaw)), F.cos(F.radians(yaw)), row["health"] / 200, row["armor"] / 200, flag(row["grounded"]), flag(row["held"]), row["gravity"] / 800]
+    middle = lambda m: local_frame(*((m[f"l{a}"] + m[f"h{a}"]) / 2 - row[a] for a in "xyz"), yaw, 1280.0)
+    leave = local_frame(*(portal[f"t{a}"] - row[a] for a in "xyz"), yaw, 1280.0)
+    launch = local_frame(*(pad[f"t{a}"] for a in "xyz"), yaw, 1000.0)
     return F.array(
-        *map(zero, own), F.sin(F.radians(yaw)), F.cos(F.radians(yaw)), zero(F.hypot(current["vx"], current["vy"]) / 320), flag(current["grounded"]), flag(current["held"]),
-        *map(zero, place), *map(zero, size), kind(mechanism["kind"], "teleport"), kind(mechanism["kind"], "push"), zero(far), *map(zero, goal), known(mechanism["lx"]),
-        *(kind(edge["kind"], k) for k in ("teleport", "push", "ordinary", "discontinuity")), flag(edge["known"]),
-    )
+        *map(zero, own), *map(zero, state), *map(zero, middle(portal)), *map(zero, leave), known(portal["lx"]), *map(zero, middle(pad)), *map(zero, launch), known(pad["lx"]), F.lit(1.0)
+    )
 
 
 def standardise(values: Column, mean: Column, std: Column, least: float = 0.05, most: float = 10.0) -> Column:

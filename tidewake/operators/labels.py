@@ -63,6 +63,20 @@ def next_pickup(future: Column, time: Column, none: str = "none", horizon: int =
     return F.when(picked.isNotNull(), picked["pickup"]).when((F.size(future) > 0) & complete & seen, F.lit(none))
 
 
+def mechanism_labels(future: Column, now: Column, low: int = 970, high: int = 1030) -> Column:
+    """Struct of teleport and push within the future (rows with an edge kind), their masks as in event_labels, and the
+    displacement and velocity of a living row 1 s on, in the view's frame; null where it wasn't seen."""
+    end = first_within(future, now["time_ms"], low, high, lambda x: x["health"] > 0)
+    complete = end.isNotNull() | F.exists(future, lambda r: r["health"] <= 0)
+    moved = local_frame(*(end[a] - now[a] for a in "xyz"), now["yaw"], 1280.0)
+    speed = local_frame(end["vx"], end["vy"], end["vz"], now["yaw"], 1000.0)
+    did = lambda k: F.exists(future, lambda r: r["edge"] == k)
+    return F.struct(
+        did("teleport").alias("teleport"), did("push").alias("push"), (did("teleport") | complete).alias("teleport_known"), (did("push") | complete).alias("push_known"),
+        F.when(end.isNotNull(), F.array(*moved, *speed)).alias("y"),
+    )
+
+
 def any_known(*masks: Column) -> Column:
     """Whether a sample knows anything."""
     out = F.lit(False)
