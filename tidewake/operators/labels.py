@@ -28,8 +28,10 @@ def displacement(future: Column, now: Column, yaw: Column, low: int = 2950, high
 
 
 def _steps(now: Column, future: Column) -> Column:
-    chain = F.concat(F.array(now), future)
-    return F.zip_with(F.slice(chain, F.lit(1), F.size(future)), future, lambda a, b: F.struct(a["health"].alias("h0"), a["armor"].alias("a0"), b["health"].alias("h1"), b["armor"].alias("a1")))
+    own = lambda r: F.struct(r["health"].cast("long").alias("h"), r["armor"].cast("long").alias("a"))
+    ahead = F.transform(future, own)
+    before = F.slice(F.concat(F.array(own(now)), ahead), F.lit(1), F.size(future))
+    return F.zip_with(before, ahead, lambda a, b: F.struct(a["h"].alias("h0"), a["a"].alias("a0"), b["h"].alias("h1"), b["a"].alias("a1")))
 
 
 def stack_loss(now: Column, future: Column) -> Column:

@@ -1,6 +1,6 @@
 """Queries and their SQL oracles, by name."""
 
-from . import tables, trajectory
+from . import streams, tables, trajectory
 
-QUERIES: dict = {**tables.QUERIES, **trajectory.QUERIES}
-ORACLE_SQL: dict = {**tables.ORACLE_SQL, **trajectory.ORACLE_SQL}
+QUERIES: dict = {**tables.QUERIES, **trajectory.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict = {**tables.ORACLE_SQL, **trajectory.ORACLE_SQL, **streams.ORACLE_SQL}
