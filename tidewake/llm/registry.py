@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html_text, langid, licenses, ngram_join, pieces, quality, secrets, urls
+from . import decontaminate, fingerprints, html_text, langid, licenses, ngram_join, oracles, pieces, quality, secrets, urls
 from .common import table
 
 
@@ -63,4 +63,9 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn from the corpus or make sketches; their tests hold them against brute force, definitions or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op7_ngram_join": oracles.NGRAM_JOIN,
+    "op8_url_filters": oracles.URL_FILTERS,
+}
