@@ -19,7 +19,7 @@ def packet(p):
     return struct.pack("<i", len(p)) + p
 
 
-HEADER = packet(bytes([12]) + struct.pack("<iiB", 34, 1, 1) + b"baseq2\0" + struct.pack("<h", 0) + b"test\0")
+HEADER = packet(bytes([12]) + struct.pack("<iiB", 34, 1, 1) + b"game\0" + struct.pack("<h", 0) + b"test\0")
 END = struct.pack("<i", -1)
 
 
@@ -199,7 +199,7 @@ def test_scoreboards(spark):
     assert [r[1:4] for r in scoreboard.parse(ranked)] == [("ann", None, 9), ("bob", None, 4)]
     team = f'yv 1 string "{row("red", 10)}" yv 2 string "{row("blue", 7)}" yv 18 string "blue:5(x)" yv 20 string2 "{scoreboard.TEAM_HEADER}" yv 58 string "red:9(y)" yv 60 string2 "{scoreboard.TEAM_HEADER}" yv 28 string "{row("ann", 4, 2)}" yv 70 string "{row("bob", 6, 1)}"'
     assert [(r[1], r[3], r[5]) for r in scoreboard.parse(team)] == [("ann", 4, 2), ("bob", 6, 1)]
-    assert scoreboard.parse("client 0 0 3 12 5 6 client 0 32 4 -1 5 6") == [("baseq2", None, 3, 12, None, 0), ("baseq2", None, 4, -1, None, 0)]
+    assert scoreboard.parse("client 0 0 3 12 5 6 client 0 32 4 -1 5 6") == [("stock", None, 3, 12, None, 0), ("stock", None, 4, -1, None, 0)]
     assert scoreboard.parse('string "open') is None and scoreboard.parse("client 1 2") is None and scoreboard.parse(None) is None
     scoreboard.register(spark)
     assert spark.sql("SELECT score FROM scoreboard_rows('client 0 0 3 12 5 6')").first()[0] == 12

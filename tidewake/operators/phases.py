@@ -116,8 +116,8 @@ def modes(df: DataFrame, adapter: str, teams_seen: str, players: str) -> DataFra
     """A segment's mode and how sure it is, by adapter, teams and the number that scored or is on the table."""
     t, n, a = F.col(teams_seen), F.col(players), F.col(adapter)
     generic = F.when(t, "tdm").when(n == 2, "duel").when(n > 2, "ffa").otherwise("unknown")
-    mode = F.when(a == "opentdm", F.when(t & (n > 2), "tdm").otherwise("duel")).when(a == "openffa", "ffa").otherwise(generic)
-    conf = F.when(a == "openffa", AUTHORITATIVE).when((a != "opentdm") & (mode == "unknown"), UNKNOWN).otherwise(INFERRED)
+    mode = F.when(a == "team_mod", F.when(t & (n > 2), "tdm").otherwise("duel")).when(a == "ffa_mod", "ffa").otherwise(generic)
+    conf = F.when(a == "ffa_mod", AUTHORITATIVE).when((a != "team_mod") & (mode == "unknown"), UNKNOWN).otherwise(INFERRED)
     return df.withColumn("mode", mode).withColumn("mode_conf", conf)
 
 

@@ -109,12 +109,12 @@ def participant_facts(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("total"))
 
 
-@query("""WITH s AS (SELECT o_custkey, COUNT(*) AS players, BOOL_OR(o_orderstatus = 'P') AS teams, CASE o_custkey % 3 WHEN 0 THEN 'opentdm' WHEN 1 THEN 'openffa' ELSE 'generic' END AS adapter FROM orders GROUP BY 1)
-SELECT o_custkey, CASE adapter WHEN 'opentdm' THEN CASE WHEN teams AND players > 2 THEN 'tdm' ELSE 'duel' END WHEN 'openffa' THEN 'ffa' ELSE CASE WHEN teams THEN 'tdm' WHEN players = 2 THEN 'duel' WHEN players > 2 THEN 'ffa' ELSE 'unknown' END END AS mode,
- CASE adapter WHEN 'opentdm' THEN 1 WHEN 'openffa' THEN 2 ELSE CASE WHEN teams OR players >= 2 THEN 1 ELSE 0 END END AS mode_conf FROM s""")
+@query("""WITH s AS (SELECT o_custkey, COUNT(*) AS players, BOOL_OR(o_orderstatus = 'P') AS teams, CASE o_custkey % 3 WHEN 0 THEN 'team_mod' WHEN 1 THEN 'ffa_mod' ELSE 'generic' END AS adapter FROM orders GROUP BY 1)
+SELECT o_custkey, CASE adapter WHEN 'team_mod' THEN CASE WHEN teams AND players > 2 THEN 'tdm' ELSE 'duel' END WHEN 'ffa_mod' THEN 'ffa' ELSE CASE WHEN teams THEN 'tdm' WHEN players = 2 THEN 'duel' WHEN players > 2 THEN 'ffa' ELSE 'unknown' END END AS mode,
+ CASE adapter WHEN 'team_mod' THEN 1 WHEN 'ffa_mod' THEN 2 ELSE CASE WHEN teams OR players >= 2 THEN 1 ELSE 0 END END AS mode_conf FROM s""")
 def mode_classification(spark, sf):
     """A13."""
-    adapter = F.when(C("o_custkey") % 3 == 0, "opentdm").when(C("o_custkey") % 3 == 1, "openffa").otherwise("generic")
+    adapter = F.when(C("o_custkey") % 3 == 0, "team_mod").when(C("o_custkey") % 3 == 1, "ffa_mod").otherwise("generic")
     d = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("players"), F.bool_or(C("o_orderstatus") == "P").alias("teams")).withColumn("adapter", adapter)
     return phases.modes(d, "adapter", "teams", "players").select("o_custkey", "mode", "mode_conf")
 
