@@ -209,21 +209,22 @@ def split_leaks(spark, sf):
     return sampling.leaks(d, "grp", "split")
 
 
-@query("""WITH o AS (SELECT doc_id, lang, n_chars, 0 AS new FROM documents WHERE doc_id % 3 < 2), n AS (SELECT doc_id, lang, n_chars, 1 AS new FROM documents WHERE doc_id % 3 > 0)
+@query("""WITH o AS (SELECT doc_id, lang, n_chars, 0 AS new FROM documents WHERE n_chars < 4000), n AS (SELECT doc_id, lang, n_chars, 1 AS new FROM documents WHERE n_chars >= 1000)
 , b AS (SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM n) QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY new DESC) = 1)
 SELECT doc_id, lang, n_chars FROM b QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) <= 200 // (SELECT COUNT(DISTINCT lang) FROM b)""")
 def replay_merge(spark, sf):
     """Old and new rows without duplicates, shared out evenly over the maps (languages)."""
     d = read(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return sampling.replay_merge(d.where("doc_id % 3 < 2"), d.where("doc_id % 3 > 0"), "doc_id", "lang", 200)
+    return sampling.replay_merge(d.where("n_chars < 4000"), d.where("n_chars >= 1000"), "doc_id", "lang", 200)
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END FROM orders WHERE o_orderstatus <> 'P')
 SELECT id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id HAVING COUNT(DISTINCT v) > 1""")
 def replay_conflicts(spark, sf):
     """Identities whose payload changed."""
-    a = read(spark, sf, "orders").select(C("o_orderkey").alias("id"), C("o_orderstatus").alias("v"))
-    b = a.where("id % 2 = 0").withColumn("v", F.when(C("id") % 50 == 0, "X").otherwise(C("v")))
+    o = read(spark, sf, "orders")
+    a = o.select(C("o_orderkey").alias("id"), C("o_orderstatus").alias("v"))
+    b = o.where("o_orderstatus <> 'P'").select(C("o_orderkey").alias("id"), F.when(C("o_totalprice") > 400000, "X").otherwise(C("o_orderstatus")).alias("v"))
     return sampling.conflicts(a, b, "id", ["v"])
 
 
@@ -233,21 +234,21 @@ def group_folds(spark, sf):
     return sampling.group_folds(read(spark, sf, "customer"), "c_mktsegment", "c_nationkey", 5).withColumn("role", sampling.fold_role(C("fold"), 1, 5))
 
 
-@query("SELECT doc_id, sha256(text) AS h, doc_id % 4 <> 0 AS reused FROM documents WHERE doc_id % 5 <> 0")
+@query("SELECT doc_id, sha256(text) AS h, lang IN ('en', 'fr') AS reused FROM documents")
 def incremental_reuse(spark, sf):
     """Cached results where there are any, the rest computed."""
-    d = read(spark, sf, "documents").select("doc_id", "text")
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang")
     work = lambda x: x.select("doc_id", F.sha2("text", 256).alias("h"))
-    cached = work(d.where("doc_id % 4 <> 0")).withColumn("reused", F.lit(True))
-    return sampling.reuse_or_recompute(d.where("doc_id % 5 <> 0"), cached, ["doc_id"], lambda x: work(x).withColumn("reused", F.lit(False)))
+    cached = work(d.where("lang IN ('en', 'fr')")).withColumn("reused", F.lit(True))
+    return sampling.reuse_or_recompute(d, cached, ["doc_id"], lambda x: work(x).withColumn("reused", F.lit(False)))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' WHEN p_partkey % 5 = 0 THEN 'issue' ELSE 'old' END AS origin FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0")
+@query("SELECT p_partkey, CASE WHEN p_size > 30 THEN 'new' WHEN p_type = 'SMALL' THEN 'issue' ELSE 'old' END AS origin FROM part WHERE p_size > 30 OR p_type = 'SMALL' OR p_size < 20")
 def refresh_sources(spark, sf):
     """U8: the latest of old sources, old issues and new ones."""
-    p = read(spark, sf, "part").select("p_partkey")
-    part = lambda cond, name: p.where(cond).withColumn("origin", F.lit(name))
-    return sampling.refresh_sources(part("p_partkey % 2 = 0", "old"), part("p_partkey % 5 = 0", "issue"), part("p_partkey % 3 = 0", "new"), ["p_partkey"])
+    p = read(spark, sf, "part")
+    part = lambda cond, name: p.where(cond).select("p_partkey", F.lit(name).alias("origin"))
+    return sampling.refresh_sources(part("p_size < 20", "old"), part("p_type = 'SMALL'", "issue"), part("p_size > 30", "new"), ["p_partkey"])
 
 
 @query("SELECT sha256(text) AS content_sha, MIN(doc_id) AS doc_id, COUNT(*) AS locations FROM documents GROUP BY 1")
@@ -256,18 +257,18 @@ def content_aliases(spark, sf):
     return sampling.content_alias(read(spark, sf, "documents"), C("text"), ["doc_id"])[0]
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 4 <> 0 AND p_name NOT LIKE '%ring%' ORDER BY sha256(p_name || '|' || p_partkey), p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND p_name NOT LIKE '%ring%' ORDER BY sha256(p_name || '|' || p_partkey), p_partkey LIMIT 50")
 def corpus_expansion(spark, sf):
     """The operator's own n more."""
-    p = read(spark, sf, "part").select("p_partkey", "p_name")
-    return sampling.expand(p, p.where("p_partkey % 4 = 0"), ["p_partkey"], C("p_name").contains("ring"), F.concat("p_name", F.lit("|"), C("p_partkey").cast("string")), 50)
+    p = read(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    return sampling.expand(p, p.where("p_size < 10"), ["p_partkey"], C("p_name").contains("ring"), F.concat("p_name", F.lit("|"), C("p_partkey").cast("string")), 50).select("p_partkey", "p_name")
 
 
-@query("""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS rec, CASE WHEN o_orderkey % 7 = 0 THEN 'tricks' ELSE 'game' END AS role, o_orderpriority AS grp, 'test' AS split, o_orderkey FROM orders WHERE o_custkey % 4 = 0), c AS (SELECT rec, COUNT(DISTINCT role) > 1 AS conflict FROM r GROUP BY 1)
+@query("""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS rec, CASE WHEN o_orderkey % 7 = 0 THEN 'tricks' ELSE 'game' END AS role, o_orderpriority AS grp, 'test' AS split, o_orderkey FROM orders), c AS (SELECT rec, COUNT(DISTINCT role) > 1 AS conflict FROM r GROUP BY 1)
 SELECT r.o_orderkey, rec, conflict, CASE WHEN conflict THEN NULL WHEN role = 'tricks' THEN 'trick-' || rec ELSE grp END AS grp, CASE WHEN conflict THEN 'quarantine' WHEN role = 'tricks' THEN 'train' ELSE split END AS split FROM r JOIN c USING (rec)""")
 def role_precedence(spark, sf):
     """U11."""
-    d = read(spark, sf, "orders").where("o_custkey % 4 = 0").select("o_orderkey", C("o_custkey").cast("string").alias("rec"), F.when(C("o_orderkey") % 7 == 0, "tricks").otherwise("game").alias("role"), C("o_orderpriority").alias("grp"), F.lit("test").alias("split"))
+    d = read(spark, sf, "orders").select("o_orderkey", C("o_custkey").cast("string").alias("rec"), F.when(C("o_orderkey") % 7 == 0, "tricks").otherwise("game").alias("role"), C("o_orderpriority").alias("grp"), F.lit("test").alias("split"))
     return sampling.roles(d, "rec", "role", "grp", "split").select("o_orderkey", "rec", "conflict", "grp", "split")
 
 
@@ -336,14 +337,14 @@ def named_targets(spark, sf):
 
 
 NEAREST = """WITH c AS (SELECT vec_id AS point_id, label AS klass, embedding AS v FROM embeddings WHERE vec_id < 30)
-, d AS (SELECT e.vec_id, klass, point_id, list_sum(list_transform(list_zip(e.embedding, c.v), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS d2 FROM embeddings e, c WHERE e.vec_id >= 30)
+, d AS (SELECT e.vec_id, klass, point_id, list_sum(list_transform(list_zip(e.embedding, c.v), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS d2 FROM embeddings e, c)
 , b AS (SELECT * FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id, klass ORDER BY d2, point_id) = 1)"""
 
 
 def _nearest(spark, sf):
     e = read(spark, sf, "embeddings")
     points = e.where("vec_id < 30").select(C("vec_id").alias("point_id"), C("label").alias("klass"), C("embedding").alias("v"))
-    return geometry.nearest(e.where("vec_id >= 30"), points, ["vec_id"], "klass", "point_id", "v", "embedding")
+    return geometry.nearest(e, points, ["vec_id"], "klass", "point_id", "v", "embedding")
 
 
 @query(f"{NEAREST} SELECT vec_id, klass, point_id, ROUND(d2, 6) AS d2 FROM b")
@@ -467,11 +468,11 @@ def constraint_violations(spark, sf):
     return metrics.violations(d, "id", {"discount": C("l_discount") <= 0.09, "quantity": C("l_quantity") > 1})
 
 
-@query("SELECT doc_id, 'a' AS only_in FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id + 1000000, 'b' FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id, 'a' AS only_in FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id + 100000000, 'b' FROM documents WHERE lang = 'es'")
 def table_difference(spark, sf):
     """V8: rows that only one of two tables has."""
-    d = read(spark, sf, "documents").select("doc_id")
-    return metrics.same_rows(d, d.select(F.when(C("doc_id") % 10 == 0, C("doc_id") + 1000000).otherwise(C("doc_id")).alias("doc_id")))
+    d = read(spark, sf, "documents")
+    return metrics.same_rows(d.select("doc_id"), d.select(F.when(C("lang") == "es", C("doc_id") + 100000000).otherwise(C("doc_id")).alias("doc_id")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice <> MAX(o_totalprice) OVER w THEN 'loss' WHEN COUNT(*) OVER (PARTITION BY o_custkey, o_totalprice) > 1 THEN 'draw' ELSE 'win' END AS result FROM (SELECT o_orderkey, o_custkey, FLOOR(o_totalprice / 20000) AS o_totalprice FROM orders) WINDOW w AS (PARTITION BY o_custkey)")
@@ -516,17 +517,15 @@ def json_payload(spark, sf):
     return d.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("*").alias("n"))
 
 
-NAMED = "WITH a AS (SELECT c_custkey AS i, c_nationkey AS n, 'pl' || c_mktsegment || (c_custkey % 7) AS x FROM customer WHERE c_custkey % 5 = 0), b AS (SELECT c_custkey AS j, c_nationkey AS n, CASE WHEN c_custkey % 2 = 0 THEN 'pl' || c_mktsegment || (c_custkey % 9) || 'xy' ELSE 'p1' || c_mktsegment || (c_custkey % 7) END AS y FROM customer WHERE c_custkey % 5 = 1)"
-
-
-@query(f"{NAMED} SELECT i, j FROM a JOIN b USING (n) WHERE lower(x) = lower(y) OR (contains(lower(y), lower(x)) AND length(y) <= length(x) + 8) OR (ABS(length(x) - length(y)) <= 1 AND levenshtein(lower(x), lower(y)) <= 1)")
+@query("""WITH a AS (SELECT c_custkey, lower(replace(n_name, '_', '')) AS wanted, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN '^3-' || n_name || '-X9' WHEN 2 THEN replace(n_name, 'T', 'L') WHEN 3 THEN 'a longer name than ' || n_name ELSE c_mktsegment END AS alias FROM customer JOIN nation ON c_nationkey = n_nationkey)
+, b AS (SELECT *, regexp_replace(lower(regexp_replace(alias, '\\^[0-9]', '', 'g')), '[^a-z0-9]', '', 'g') AS nick FROM a)
+SELECT c_custkey, nick = wanted OR (contains(nick, wanted) AND length(nick) <= length(wanted) + 8) OR (ABS(length(nick) - length(wanted)) <= 1 AND levenshtein(nick, wanted) <= 1) AS matched FROM b""")
 def fuzzy_names(spark, sf):
-    """Decorated names and single typos within a nation."""
-    c = read(spark, sf, "customer")
-    a = c.where("c_custkey % 5 = 0").select(C("c_custkey").alias("i"), C("c_nationkey").alias("n"), F.concat(F.lit("pl"), "c_mktsegment", (C("c_custkey") % 7).cast("string")).alias("x"))
-    y = F.when(C("c_custkey") % 2 == 0, F.concat(F.lit("pl"), "c_mktsegment", (C("c_custkey") % 9).cast("string"), F.lit("xy"))).otherwise(F.concat(F.lit("p1"), "c_mktsegment", (C("c_custkey") % 7).cast("string")))
-    b = c.where("c_custkey % 5 = 1").select(C("c_custkey").alias("j"), C("c_nationkey").alias("n"), y.alias("y"))
-    return a.join(b, "n").where(X.donor_match(F.array(X.nickname_ascii("y")), X.nickname_ascii("x"))).select("i", "j")
+    """Decorated names and single typos of a wanted name."""
+    d = read(spark, sf, "customer").join(read(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey"))
+    k, n = C("c_custkey") % 5, C("n_name")
+    alias = F.when(k == 0, n).when(k == 1, F.concat(F.lit("^3-"), n, F.lit("-X9"))).when(k == 2, F.replace(n, F.lit("T"), F.lit("L"))).when(k == 3, F.concat(F.lit("a longer name than "), n)).otherwise(C("c_mktsegment"))
+    return d.select("c_custkey", X.donor_match(F.array(X.nickname_ascii(alias)), X.nickname_ascii(n)).alias("matched"))
 
 
 @query("SELECT p_partkey, lower(replace(p_name, ' ', '')) AS nick, lower(trim(p_name)) AS identity, substr(lower(p_name || ' of ' || p_brand), 1, 15) AS console FROM part")
