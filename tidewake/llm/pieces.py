@@ -1,18 +1,20 @@
-"""SentencePiece encoding and decoding: the segmentation with the greatest sum of piece scores, by max-plus products.
-
-A text's best segmentation is a product of matrices over (max, +). A chunk's transfer matrix says what it costs to get
-from a piece boundary a characters into the chunk to one b characters behind its end; matrices combine associatively, so
-a giant text's chunks are worked on apart: each makes its matrix, a scan over the few numbers of each gives the best
-score of every boundary state, and each chunk then finds its own part of the path and backtraces alone.
-
-The scores are those of the model file, taken as a unigram model's. Of segmentations with equal sums the one whose last
-piece is longest wins, and so on towards the front.
+"""SentencePiece encoding and decoding by max-plus products: the same ids as the library's for a BPE model file.
+
+A sequence of pieces is what byte-pair merging makes of a text if and only if each two neighbours are what merging makes
+of their own text, and each text has exactly one such sequence. So encoding is a path problem: a state is a piece and
+where it ends, a step to the next piece weighs 0 if the two fit and minus infinity if they don't, and the best path to
+the end of the text is the encoding. A chunk's transfer matrix over (max, +) says from which states at its start which
+states at its end are reached with weight 0; all else is minus infinity, so a matrix is kept as the list of its zeros.
+Matrices combine associatively: a giant text's chunks are worked on apart, a scan over their matrices gives the states
+that the chunks begin with, and each chunk then finds its own part of the path and backtraces alone.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,12 +28,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a text's own U+2581 within this module; a lone surrogate, so no text has it.
 OWN = "\udc00"
-#: Score of a character that no piece has; its bytes take its place.
-UNKNOWN = -(10**12)
-_NONE = -(10**30)
+#: The piece of a character that no piece has (its bytes take its place), and what stands before a text.
+UNKNOWN, START = -1, -2
+#: Pairs of pieces whose fit a worker remembers.
+PAIRS = 2_000_000
 #: Texts with more code points than GIANT are encoded by chunks of CHUNK on all executors.
 GIANT, CHUNK = 1 << 16, 1 << 14
-#: Words whose pieces a task remembers.
+#: Words whose pieces a Python worker remembers, and as many again that it is about to forget.
 REMEMBERED = 400_000
 
 
@@ -62,73 +65,124 @@ class Vocabulary:
         if any(SPACE in x.lstrip(SPACE) for x in self.scores):
             raise ValueError("the words of this model's pieces aren't apart")  # words are encoded one by one
         self.longest = max(map(len, self.scores))
-        self.prefixes = {x[:k]: self.scores.get(x[:k]) for x in self.scores for k in range(1, len(x) + 1)}
-
-    def path(self, text: str, n: int, entry: dict[int, int]) -> tuple[list, list]:
-        """Best scores and last pieces' starts of all positions, by pieces that start before n; entry: scores to begin with.
-
-        A start of -1 marks a position that the entry has and no piece improves.
-        """
-        best = [_NONE] * (len(text) + 1)
-        back = [-1] * (len(text) + 1)
-        for a, s in entry.items():
-            best[a] = s
-        look, longest, end = self.prefixes.get, self.longest, len(text)
-        for i in range(n):
-            base = best[i]
-            if base == _NONE:
+        # The pieces' trie: character to (score, id, children); score and id are null where only a longer piece goes on.
+        self.names = {i: piece for piece, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
+        self.trie: dict = {}
+        for piece, i in sorted(self.ids.items()):
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, (None, None, {}))[2]
+            node[piece[-1]] = (self.scores[piece], i, node.get(piece[-1], (None, None, {}))[2])
+
+    def merged(self, text: str) -> list[str]:
+        """What byte-pair merging makes of a text: again and again the best-scored piece of two neighbours, leftmost first."""
+        parts, scores = list(text), self.scores
+        while len(parts) > 1:
+            found = [(-s, k) for k in range(len(parts) - 1) if (s := scores.get(parts[k] + parts[k + 1])) is not None]
+            if not found:
+                break
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether pieces a and b stay as they are behind one another."""
+        if a < 0 or b < 0:
+            return True
+        key = a * self.size + b
+        ok = self.pairs.get(key)
+        if ok is None:
+            x, y = self.names[a], self.names[b]
+            ok = x + y not in self.scores and self.merged(x + y) == [x, y]
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = ok
+        return ok
+
+    def walk(self, text: str, n: int, at: int = 0, piece: int = START) -> tuple[list, list]:
+        """From a state (piece ends at at): the pieces that end at each position, and where they start, by steps of weight 0
+        that start before n. Null where the state leads nowhere; -1 is the start of what was given."""
+        end = len(text)
+        last: list = [None] * (end + 1)
+        back = [-1] * (end + 1)
+        last[at] = piece
+        trie, size, pairs = self.trie, self.size, self.pairs
+        for i in range(at, n):
+            before = last[i]
+            if before is None:
                 continue
-            for j in range(i + 1, min(i + longest, end) + 1):
-                s = look(text[i:j], 1)
-                if s == 1:  # no piece begins so
+            node, base, one = trie, before * size, False
+            for j in range(i, end):
+                found = node.get(text[j])
+                if found is None:
                     break
-                if s is not None and base + s > best[j]:
-                    best[j] = base + s
-                    back[j] = i
-            if base + UNKNOWN > best[i + 1] and text[i] not in self.scores:
-                best[i + 1] = base + UNKNOWN
+                _, b, node = found
+                if b is not None:
+                    one |= j == i
+                    if last[j + 1] is None:
+                        ok = True if before < 0 else pairs.get(base + b)
+                        if ok or ok is None and self.fits(before, b):
+                            last[j + 1] = b
+                            back[j + 1] = i
+            if not one and last[i + 1] is None:
+                last[i + 1] = UNKNOWN
                 back[i + 1] = i
-        return best, back
-
-    def pieces(self, text: str, start: int, stop: int) -> list[int]:
-        """Ids of text[start:stop] as one piece, or of its bytes."""
-        i = self.ids.get(text[start:stop])
-        return [i] if i is not None else [self.bytes_at + b for b in text[start:stop].replace(OWN, SPACE).encode()]
+        return last, back
+
+    def spell(self, text: str, last: list, back: list, at: int) -> list[int]:
+        """Ids of the path that ends at at, back to what was given."""
+        out: list[int] = []
+        while back[at] >= 0:
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out += [self.bytes_at + b for b in reversed(text[back[at] : at].replace(OWN, SPACE).encode())]
+            at = back[at]
+        out.reverse()
+        return out
 
     def word(self, text: str) -> list[int]:
         """Ids of a normalised text without looking beyond it."""
-        _, back = self.path(text, len(text), {0: 0})
-        cuts, at = [], len(text)
-        while at > 0:
-            cuts.append((back[at], at))
-            at = back[at]
-        return [i for a, b in reversed(cuts) for i in self.pieces(text, a, b)]
+        n = len(text)
+        return self.spell(text, *self.walk(text, n), n)
+
+    def states(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(characters behind at, piece) of all pieces that end at or behind at and start before it."""
+        out = []
+        for i in range(max(0, at - self.longest), at):
+            node = self.trie
+            for j in range(i, len(text)):
+                found = node.get(text[j])
+                if found is None:
+                    break
+                node = found[2]
+                if found[1] is not None and j + 1 >= at:
+                    out.append((j + 1 - at, found[1]))
+        known = self.trie.get(text[at - 1], (None, None))[1] is not None
+        return out if known else [*out, (0, UNKNOWN)]
 
-    def transfer(self, text: str, n: int) -> np.ndarray:
-        """The chunk's matrix: [a, b] is the best score from a into it to b behind its end; -inf where there is no way.
+    def transfer(self, text: str, n: int, behind: int) -> list[list]:
+        """The chunk's matrix as its zeros: [state before, states after] with a state as [offset, piece].
 
-        text has the n characters of the chunk and those behind it that a piece can reach. Ways from different
-        a meet where a word begins; from there on they are worked out once.
+        text has behind characters in front of the chunk's n and those that a piece can reach after it. All ways
+        that come to a word's start fit whatever follows, so what lies beyond it is worked out once.
         """
-        width = self.longest
-        out = np.full((width, width), -np.inf)
-        meet = next((i for i in range(width, n) if text[i] == SPACE and text[i - 1] != SPACE), None)
-        rest = self.path(text[meet:], n - meet, {0: 0})[0] if meet is not None else None
-        for a in range(width):
-            if a >= n + width or a > len(text):
-                continue
-            best = self.path(text[:meet] if meet is not None else text, meet if meet is not None else n, {a: 0})[0]
-            if meet is not None:
-                if best[meet] != _NONE:
-                    for b in range(min(width, len(rest) - (n - meet))):
-                        if rest[n - meet + b] != _NONE:
-                            out[a, b] = best[meet] + rest[n - meet + b]
-            else:
-                for b in range(min(width, len(best) - n)):
-                    if best[n + b] != _NONE:
-                        out[a, b] = best[n + b]
+        stop = behind + n
+        first = self.states(text, behind) if behind else [(0, START)]
+        meet = next((i for i in range(behind + self.longest, stop) if text[i] == SPACE and text[i - 1] != SPACE), None)
+        rest = self._ends(self.walk(text, stop, meet, START)[0], stop) if meet is not None else []
+        out = []
+        for a, piece in first:
+            last = self.walk(text[:meet] if meet is not None else text, meet if meet is not None else stop, behind + a, piece)[0]
+            ends = (rest if last[meet] is not None else []) if meet is not None else self._ends(last, stop)
+            if ends:
+                out.append([[a, piece], ends])
         return out
 
+    def _ends(self, last: list, stop: int) -> list:
+        return [[j - stop, last[j]] for j in range(stop, min(stop + self.longest, len(last))) if last[j] is not None]
+
     def decode(self, ids) -> str:
         """The text of ids; of bytes that aren't UTF-8, the replacement character."""
         raw = self.raw
@@ -136,21 +190,31 @@ class Vocabulary:
 
 
 class Memory(dict):
-    """Word (after its space) to its pieces' ids as int32 bytes; forgets when full."""
+    """Word (after its space) to its pieces' ids as int32 bytes. When it is full, only words met since it last was are kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = np.array(self.vocabulary.word(SPACE + word if not word.startswith(" ") else word.replace(" ", SPACE)), np.int32).tobytes()
+        out = self.older.get(word)
+        if out is None:
+            out = array("i", self.vocabulary.word(SPACE + word if not word.startswith(" ") else word.replace(" ", SPACE))).tobytes()
         if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[word] = out
         return out
 
 
+@functools.cache
+def memory_of(model: str | bytes) -> Memory:
+    """One memory a process: Python workers keep it from task to task."""
+    return Memory(Vocabulary(model))
+
+
 _GAPS = re.compile(" {2,}[^ ]*| [^ ]+| $")
 
 
@@ -176,8 +240,8 @@ def _one_task(model):
     """Encodes Arrow batches of (doc_id, text): doc_id, ids, n_tokens, round_trip."""
 
     def run(batches):
-        v = Vocabulary(model)
-        memory = Memory(v)
+        memory = memory_of(model)
+        v = memory.vocabulary
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a in range(0, len(texts), 200):
@@ -193,17 +257,18 @@ def _one_task(model):
 
 
 def _split(batches):
-    """Giant texts to chunks: (row, doc_id, chunk, last, n, text with what a piece can reach behind it)."""
+    """Giant texts to chunks: (row, doc_id, chunk, last, behind, n, text): n characters with those that a piece can reach on either side."""
     for pdf in batches:
         for row, doc_id, reach, text in zip(pdf["row"], pdf["doc_id"], pdf["reach"], pdf["text"]):
             s = " " + text
             for c, at in enumerate(range(0, len(s), CHUNK)):
-                yield pd.DataFrame({"row": [row], "doc_id": pd.array([doc_id], "Int64"), "chunk": [c], "last": [at + CHUNK >= len(s)], "n": [min(CHUNK, len(s) - at)], "text": [s[at : at + CHUNK + reach]]})
+                start = max(0, at - reach)
+                yield pd.DataFrame({"row": [row], "doc_id": pd.array([doc_id], "Int64"), "chunk": [c], "last": [at + CHUNK >= len(s)], "behind": [at - start], "n": [min(CHUNK, len(s) - at)], "text": [s[start : at + CHUNK + reach]]})
 
 
 def _by_chunk(model, work, columns):
     def run(batches):
-        v = Vocabulary(model)
+        v = memory_of(model).vocabulary
         for pdf in batches:
             yield pd.DataFrame([work(v, r, normalised(r.text)) for r in pdf.itertuples(index=False)], columns=columns)
 
@@ -211,59 +276,54 @@ def _by_chunk(model, work, columns):
 
 
 def _transfer(v, r, text):
-    return r.row, r.chunk, v.transfer(text, r.n).astype(np.float64).tobytes()
+    return r.row, r.chunk, json.dumps(v.transfer(text, r.n, r.behind))
 
 
 def _forward(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Scans a text's matrices: the best score of each boundary state where each chunk begins."""
+    """Scans a text's matrices: the states that are reached where each chunk begins."""
     pdf = pdf.sort_values("chunk")
-    out, state = [], None
+    out, now = [], {(0, START)}
     for m in pdf["matrix"]:
-        m = np.frombuffer(m, np.float64)
-        m = m.reshape(int(len(m) ** 0.5), -1)
-        state = np.where(np.arange(len(m)) == 0, 0.0, -np.inf) if state is None else state
-        out.append(json.dumps({int(a): int(state[a]) for a in np.flatnonzero(np.isfinite(state))}))
-        state = (state[:, None] + m).max(0)
+        out.append(json.dumps(sorted(now)))
+        now = {tuple(b) for a, ends in json.loads(m) if tuple(a) in now for b in ends}
     return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "entry": out})
 
 
-def _way(v, r, text):
-    return v.path(text, r.n, {int(a): s for a, s in json.loads(r.entry).items()})[1]
-
-
-def _steps(back, n, at):
-    """Pieces from the entry to n + at, in order, and where the first of them starts."""
-    at, out = n + at, []
-    while at > 0 and back[at] >= 0:
-        out.append((back[at], at))
-        at = back[at]
-    return at, out[::-1]
+def _ways(v, r, text):
+    """The chunk's walks from each state that it can begin with."""
+    for a, piece in json.loads(r.entry):
+        yield [a, piece], *v.walk(text, r.behind + r.n, r.behind + a, piece)
 
 
 def _exits(v, r, text):
-    back = _way(v, r, text)
-    ends = [0] if r.last else range(min(v.longest, len(text) - r.n + 1))
-    return r.row, r.chunk, json.dumps({b: _steps(back, r.n, b)[0] for b in ends})
+    """The state that the chunk begins with, by the one it ends with."""
+    stop = r.behind + r.n
+    found = [[end, a] for a, last, _ in _ways(v, r, text) for end in ([[0, last[stop]]] if r.last and last[stop] is not None else v._ends(last, stop))]
+    return r.row, r.chunk, json.dumps(found)
 
 
 def _backward(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains a text's maps from exit to entry, last chunk first: where the path leaves each chunk."""
+    """Chains a text's maps from end to beginning, last chunk first: the states that each chunk begins and ends with."""
     pdf = pdf.sort_values("chunk", ascending=False)
-    out, b = [], 0
+    come, leave, state = [], [], None
     for m in pdf["exits"]:
-        out.append(b)
-        b = json.loads(m)[str(b)]
-    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "leave": out})
+        ways = {tuple(end): a for end, a in json.loads(m)}
+        state = next((e for e in sorted(ways) if e[0] == 0), None) if state is None else state
+        leave.append(json.dumps(state))
+        state = tuple(ways[state])
+        come.append(json.dumps(state))
+    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "come": come, "leave": leave})
 
 
 def _trace(v, r, text):
-    steps = _steps(_way(v, r, text), r.n, r.leave)[1]
-    return r.row, r.doc_id, r.chunk, [i for a, b in steps for i in v.pieces(text, a, b)]
+    (a, piece), (b, _) = json.loads(r.come), json.loads(r.leave)
+    stop = r.behind + r.n
+    return r.row, r.doc_id, r.chunk, v.spell(text, *v.walk(text, stop, r.behind + a, piece), stop + b)
 
 
 def _joined(model):
     def run(batches):
-        v = Vocabulary(model)
+        v = memory_of(model).vocabulary
         for pdf in batches:
             ids = [[i for part in parts for i in part] for parts in pdf["parts"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": [v.decode(x) == t for x, t in zip(ids, pdf["text"])]})
@@ -280,15 +340,15 @@ def encode_giants(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     v = Vocabulary(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = keep(rows)
-    chunks = rows.withColumn("reach", F.lit(v.longest)).mapInPandas(_split, "row long, doc_id long, chunk long, last boolean, n int, text string")
+    chunks = rows.withColumn("reach", F.lit(v.longest)).mapInPandas(_split, "row long, doc_id long, chunk long, last boolean, behind int, n int, text string")
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = keep(chunks.repartition(n, "row", "chunk"))
     at = ["row", "chunk"]
-    matrices = chunks.mapInPandas(_by_chunk(model, _transfer, [*at, "matrix"]), "row long, chunk long, matrix binary")
+    matrices = chunks.mapInPandas(_by_chunk(model, _transfer, [*at, "matrix"]), "row long, chunk long, matrix string")
     entries = keep(matrices.groupBy("row").applyInPandas(_forward, "row long, chunk long, entry string"))
     chunks = chunks.join(entries, at)
     exits = chunks.mapInPandas(_by_chunk(model, _exits, [*at, "exits"]), "row long, chunk long, exits string")
-    leaves = exits.groupBy("row").applyInPandas(_backward, "row long, chunk long, leave int")
+    leaves = exits.groupBy("row").applyInPandas(_backward, "row long, chunk long, come string, leave string")
     parts = chunks.join(leaves, at).mapInPandas(_by_chunk(model, _trace, ["row", "doc_id", "chunk", "ids"]), "row long, doc_id long, chunk long, ids array<int>")
     whole = parts.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]).alias("parts"))
     return whole.join(rows, "row").select("doc_id", "text", "parts").mapInPandas(_joined(model), _RESULT)
@@ -314,7 +374,7 @@ def decode_documents(encoded: DataFrame, model: str | bytes = MODEL) -> DataFram
     """(doc_id, text) of rows with doc_id and ids; null ids count as none and give an empty text."""
 
     def run(batches):
-        v = Vocabulary(model)
+        v = memory_of(model).vocabulary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": ["" if x is None else v.decode(x) for x in pdf["ids"]]})
 
