@@ -51,11 +51,26 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: what a worker holds at once follows from it, and its allocators don't give memory back.
+BATCH_ROWS = 500
+#: A list of ids up to this many bytes is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs without the rows whose column is in ids (one column; a null there stands for null). The list's size is measured:
+    up to BROADCAST_BYTES it goes to the documents, beyond that both are shuffled."""
+    name = "__without"
+    ids = cut(ids.toDF(name).distinct())
+    small = ids.count() * 32 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(ids) if small else ids, docs[column].eqNullSafe(ids[name]), "left_anti")
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get at most 2,000 rows at once, unless the session asks for fewer."""
+    """Python workers get at most BATCH_ROWS rows at once, unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 2000:
-        spark.conf.set(key, "2000")
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

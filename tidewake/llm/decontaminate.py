@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import BROADCAST_BYTES, ascii_lower, without
 
 #: What separates words, after A-Z are lower-cased: ASCII other than digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows up to this many bytes of hashes are broadcast; more are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -50,8 +48,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     words are one window. Equal item texts all count. Repeated rows, null doc_ids and equal doc_ids keep
     one result row each. Other columns are ignored.
 
-    One scan: each document's window hashes meet the broadcast set in the task that made them, and only
-    hits and one row per document are shuffled. A hash hit is verified by its words.
+    One scan: each document's window hashes meet the broadcast set in the task that made them (a set above
+    BROADCAST_BYTES is joined by shuffle), and only hits and one row per document are shuffled. A hash hit is verified by its words.
     """
     grams = windows(benchmark, n)
     by_hash = grams.groupBy("k", "gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
@@ -94,5 +92,4 @@ def digest(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs (same columns) without the documents that hold a window of the benchmark. Rows with null doc_id go only if a row like them is hit."""
-    bad = scan(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    return without(docs, scan(docs, benchmark, n).where("contaminated").select("doc_id"))

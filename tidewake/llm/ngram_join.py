@@ -15,19 +15,21 @@ J(x, y) >= 0.8 is decided in integers: 9 * overlap >= 4 * (size x + size y).
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, keep, mix, slices
+from .common import bounded_batches, cut, keep, mix, slices, without
 from .graph import components
 
 WORDS = 5
 #: Code points per bucket of elements; a bucket's elements are counted in one task.
-BUCKET_CHARS, LEAST_BUCKETS = 12_000_000, 64
-BATCH_CHARS = 4_000_000
+BUCKET_CHARS, LEAST_BUCKETS = 6_000_000, 64
+BATCH_CHARS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C13)  # 3 mod 8: differences of its powers keep few factors of two
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -78,39 +80,57 @@ def _key(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ _BASE).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+_DEALT = "bucket int, batch long, head string, repeated binary, times binary, owners binary, counts binary, weights binary, own_weights binary, low binary, high binary"
+_COUNTED = "batch long, bucket int, head string, repeated binary, times binary, owners binary, counts binary, elements binary, ranks binary"
+
+
 def _deal(buckets: int, words: int):
-    """Batches of documents to rows (bucket, batch, head, counts, elements): the elements of one batch that fall in one bucket."""
+    """Batches of documents to rows (bucket, batch, ...): the elements of one batch that fall in one bucket.
+
+    What a batch repeats is summed before it is sent: equal sets send their elements once, for the first of them, and an
+    element of several sets is sent once for the batch as a whole (the document after the last). Who has it stays with the
+    batch: it travels with the head, which goes to a bucket by the batch's number. So an element that most documents have
+    costs its bucket one entry a batch.
+    """
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         for pdf in batches:
             ids, texts = pdf["doc_id"].astype("Int64"), pdf["text"].fillna("").tolist()
             for a, z in slices(texts, BATCH_CHARS):
-                sets = shingles(texts[a:z], words)
-                n = np.fromiter(map(len, sets), np.uint32, z - a)
-                head = pd.DataFrame({"doc_id": ids[a:z].astype("Int64").array, "n": n, "key": [_key(s) for s in sets]})
-                flat = np.concatenate(sets)
-                doc = np.repeat(np.arange(z - a, dtype=np.uint32), n)
-                # Equal sets of a batch send their elements once, for the first of them, as if twice.
-                again = head["key"].duplicated().to_numpy()
+                sets, whole = shingles(texts[a:z], words), z - a
+                n = np.fromiter(map(len, sets), np.uint32, whole)
+                head = pd.DataFrame({"doc_id": ids[a:z].array, "n": n, "key": [_key(s) for s in sets]})
                 weight = head.groupby("key")["key"].transform("size").to_numpy().astype(np.uint32)
-                use = ~again[doc]
-                flat, doc = flat[use], doc[use]
+                flat, doc = np.concatenate(sets), np.repeat(np.arange(whole, dtype=np.uint32), n)
+                first = ~head["key"].duplicated().to_numpy()[doc]
+                flat, doc = flat[first], doc[first]
+                seen, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+                many = times > 1
+                again = many[where]
+                total = np.bincount(where, weight[doc], len(seen))[many].astype(np.uint32)
+                owners = doc[again][np.argsort(where[again], kind="stable")]
+                flat = np.concatenate([flat[~again], seen[many]])
+                doc = np.concatenate([doc[~again], np.full(many.sum(), whole, np.uint32)])
+                weights = np.concatenate([np.zeros(len(flat) - len(total), np.uint32), total])
                 bucket = ((flat >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint32)
+                entry = flat & _ENTRY
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 batch, number = (part << 32) + number, number + 1
                 lead = batch % buckets
-                packed = head.assign(key=head["key"].map(bytes.hex)).to_json(orient="values")
+                own = entry[doc == whole] | (bucket[doc == whole].astype(np.uint64) << np.uint64(48))
+                home = (head.assign(key=head["key"].map(bytes.hex)).to_json(orient="values"), own.tobytes(), times[many].astype(np.uint32).tobytes(), owners.tobytes())
                 out = []
                 for i in range(buckets):
                     at = order[ends[i] : ends[i + 1]]
                     if len(at) or i == lead:
-                        e = flat[at] & _ENTRY
-                        out.append((i, batch, packed if i == lead else None, np.bincount(doc[at], minlength=z - a).astype(np.uint32).tobytes(), weight.tobytes() if i == lead or len(at) else b"", e.astype(np.uint32).tobytes(), (e >> np.uint64(32)).astype(np.uint16).tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "batch", "head", "counts", "weights", "low", "high"])
+                        d, e = doc[at], entry[at]
+                        counts = np.bincount(d, minlength=whole + 1).astype(np.uint32)
+                        out.append((i, batch, *(home if i == lead else (None,) * 4), counts.tobytes(), weight.tobytes(), weights[at][d == whole].tobytes(), e.astype(np.uint32).tobytes(), (e >> np.uint64(32)).astype(np.uint16).tobytes()))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _DEALT.split(", ")])
 
-    return run, "bucket int, batch long, head string, counts binary, weights binary, low binary, high binary"
+    return run
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,43 +140,48 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
     entry = [a.astype(np.uint64) | (np.frombuffer(b, np.uint16).astype(np.uint64) << np.uint64(32)) for a, b in zip(low, pdf["high"])]
     docs = [np.repeat(np.arange(len(c)), c) for c in counts]
-    weight = [np.frombuffer(x, np.uint32)[d] if len(d) else np.empty(0, np.uint32) for x, d in zip(pdf["weights"], docs)]
-    flat = np.concatenate(entry)
-    seen, where = np.unique(flat, return_inverse=True)
-    df = np.bincount(where, np.concatenate(weight), len(seen)) if len(flat) else np.empty(0)
+    weight = [np.concatenate([np.frombuffer(x, np.uint32)[d[d < len(c) - 1]], np.frombuffer(own, np.uint32)]) for x, own, d, c in zip(pdf["weights"], pdf["own_weights"], docs, counts)]
+    seen, where = np.unique(np.concatenate(entry), return_inverse=True)
+    df = np.bincount(where, np.concatenate(weight), len(seen))
     rank = np.minimum(255, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
-    often = (df >= 2)[where] if len(flat) else np.empty(0, bool)
+    often = (df >= 2)[where]
     out, at = [], 0
-    for batch, head, d, e, c in zip(pdf["batch"], pdf["head"], docs, entry, counts):
+    for row, d, e, c in zip(pdf[["batch", "head", "repeated", "times", "owners"]].itertuples(index=False), docs, entry, counts):
         k = often[at : at + len(e)]
         r = rank[where[at : at + len(e)]][k]
         at += len(e)
-        if k.any() or head is not None:
-            out.append((batch, bucket, head, np.bincount(d[k], minlength=len(c)).astype(np.uint32).tobytes(), e[k].tobytes(), r.tobytes()))
-    return pd.DataFrame(out, columns=["batch", "bucket", "head", "counts", "elements", "ranks"])
+        if k.any() or row.head is not None:
+            out.append((row.batch, bucket, *row[1:], np.bincount(d[k], minlength=len(c)).astype(np.uint32).tobytes(), e[k].tobytes(), r.tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTED.split(", ")])
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     """One batch: a row per document; elements are the shared ones in the common order, null where too few are shared."""
-    import json
-
-    head = json.loads(next(h for h in pdf["head"] if h is not None))
-    n = np.array([h[1] for h in head], np.int64)
+    home = pdf[pdf["head"].notna()].iloc[0]
+    head = json.loads(home["head"])
     doc, elem, rank = [], [], []
     for b, c, e, r in zip(pdf["bucket"], pdf["counts"], pdf["elements"], pdf["ranks"]):
         c = np.frombuffer(c, np.uint32)
         doc.append(np.repeat(np.arange(len(c)), c))
         elem.append(np.frombuffer(e, np.uint64) | (np.uint64(b) << np.uint64(48)))
         rank.append(np.frombuffer(r, np.uint8))
-    doc, elem, rank = np.concatenate(doc), np.concatenate(elem).view(np.int64), np.concatenate(rank)
+    doc, elem, rank = np.concatenate(doc), np.concatenate(elem), np.concatenate(rank)
+    # The batch's own entries become one for each of their owners.
+    mine = doc == len(head)
+    order = np.argsort(elem[mine])
+    own, times = np.frombuffer(home["repeated"], np.uint64), np.frombuffer(home["times"], np.uint32)
+    ranks = rank[mine][order][np.searchsorted(elem[mine][order], own)] if len(own) else np.empty(0, np.uint8)
+    doc = np.concatenate([doc[~mine], np.frombuffer(home["owners"], np.uint32)])
+    elem = np.concatenate([elem[~mine], np.repeat(own, times)]).view(np.int64)
+    rank = np.concatenate([rank[~mine], np.repeat(ranks, times)])
     order = np.lexsort((elem, rank, doc))
     ends = np.searchsorted(doc[order], np.arange(len(head) + 1))
     elem = elem[order]
-    rows, first = [], {}
+    rows, first = [], set()
     for i, (doc_id, size, key) in enumerate(head):
-        mine = elem[ends[i] : ends[i + 1]]
-        alike = first.setdefault(key, mine)  # later copies in the batch have sent nothing
-        full = alike if alike is mine and size and 5 * len(mine) >= 4 * size else None
+        shared = elem[ends[i] : ends[i + 1]]
+        full = shared if key not in first and size and 5 * len(shared) >= 4 * size else None  # later copies have sent nothing
+        first.add(key)
         rows.append((doc_id, size, bytes.fromhex(key) if size else None, full))
     return pd.DataFrame(rows, columns=["doc_id", "n", "key", "elements"]).astype({"doc_id": "Int64"})
 
@@ -170,9 +195,8 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     bounded_batches(docs.sparkSession)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
-    run, schema = _deal(buckets, words)
-    dealt = docs.select("doc_id", "text").mapInPandas(run, schema)
-    counted = dealt.groupBy("bucket").applyInPandas(_count, "batch long, bucket int, head string, counts binary, elements binary, ranks binary")
+    dealt = docs.select("doc_id", "text").mapInPandas(_deal(buckets, words), _DEALT)
+    counted = dealt.groupBy("bucket").applyInPandas(_count, _COUNTED)
     return counted.groupBy("batch").applyInPandas(_gather, "doc_id long, n int, key binary, elements array<long>")
 
 
@@ -290,11 +314,11 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     more = _crossings(index, distinct, label, _own_pivots(distinct, stars))
     cc = components(star.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     rows = rows.select("doc_id", "n", "key").join(cc.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key"))
-    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # Written first, so that the join below is of two plain tables and Spark can split a class with very many rows.
+    least = keep(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")))
     return rows.join(least, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs (same columns) without the documents of a component other than the one that names it. Rows with null doc_id stay."""
-    gone = classes(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, classes(docs, words).where("doc_id <> component_id").select("doc_id"))
