@@ -19,7 +19,7 @@ ERRORS, SPREAD = 12.0, 0.1
 #: Symbols that a document can count for in its score: characters of a text are not independent.
 EVIDENCE = 40
 #: Code points that are counted or scored at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 @functools.cache

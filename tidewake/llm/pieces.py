@@ -35,7 +35,7 @@ PAIRS = 2_000_000
 #: Texts with more code points than GIANT are encoded by chunks of CHUNK on all executors.
 GIANT, CHUNK = 1 << 16, 1 << 14
 #: Words whose pieces a Python worker remembers, and as many again that it is about to forget.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Vocabulary:
