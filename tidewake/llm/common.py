@@ -62,7 +62,8 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
     up to BROADCAST_BYTES it goes to the documents, beyond that both are shuffled."""
     name = "__without"
     ids = cut(ids.toDF(name).distinct())
-    small = ids.count() * 32 <= BROADCAST_BYTES
+    width = 96 if ids.schema[name].dataType.typeName() == "string" else 32  # a sha256 in hex, or a number
+    small = ids.count() * width <= BROADCAST_BYTES
     return docs.join(F.broadcast(ids) if small else ids, docs[column].eqNullSafe(ids[name]), "left_anti")
 
 

@@ -320,5 +320,23 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs (same columns) without the documents of a component other than the one that names it. Rows with null doc_id stay."""
-    return without(docs, classes(docs, words).where("doc_id <> component_id").select("doc_id"))
+    """docs (same columns) with exactly one row of each component: of the rows with its least doc_id (null comes last), one.
+
+    Rows are told apart by 64 bits of (doc_id, text), on which their component depends too; of rows that are equal in
+    both, one stays. Null or wordless texts have no component and stay, all of them.
+    """
+    key = "__row_key"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = classes(keyed.select(F.col(key).alias("doc_id"), "text"), words).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"), F.first("component_id").alias("component"))
+    named = found.join(keyed.groupBy(key).agg(F.min("doc_id").alias("doc_id")), key)
+    named = keep(named.select("component", "rows", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key).alias("r")))
+    best = keep(named.groupBy("component").agg(F.min("r").alias("best")))
+    judged = named.join(best, "component").select(F.col(f"r.{key}").alias(key), "rows", (F.col(f"r.{key}") == F.col(f"best.{key}")).alias("stays"))
+    judged = keep(judged)
+    left = without(keyed, judged.where("NOT stays").select(key), key)
+    again = judged.where("stays AND rows > 1").select(key)
+    if not again.isEmpty():
+        copies = keyed.join(again, key, "left_semi").dropDuplicates([key]).select(*keyed.columns)
+        left = without(left, again, key).unionByName(copies)
+    return left.drop(key)
