@@ -1,0 +1,13 @@
+"""Shared runs decide about text outside articles, and about marked text of pages without one."""
+
+from tidewake.llm import html_text
+
+
+def test_op2_text_outside_articles(spark):
+    tail = "this line is on every page of the site again"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    page = lambda i: f'<body><article><p>teaser {i}</article><div>{own(i)}</div><div class="ad">{own(i + 50)}</div><p>{tail}</p></body>'
+    marked = lambda i: f'<body class="no-sidebar"><nav>{own(i + 50)}</nav><div>{own(i)}</div><p>{tail}</p></body>'
+    rows = [(i, "http://a.com/1", page(i)) for i in range(3)] + [(i, "http://b.com/1", marked(i)) for i in range(3, 6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"teaser {i} {own(i)}" for i in range(3)} | {i: own(i) for i in range(3, 6)}

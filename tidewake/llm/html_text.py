@@ -2,7 +2,8 @@
 
 A page's article (article, main, or what is marked as such) is its content, but for the menus, adverts, forms, notices
 and comments inside. All other text of a host's pages is put into token streams, whose suffixes are sorted: runs of RUN
-tokens or more that distinct pages share are boilerplate and go. What is left is kept where a page has no article.
+tokens or more that distinct pages share are boilerplate and go. What is left of unmarked text is kept on every page, and
+on pages without an article also what is left of text that only a word of a class, id or role marks as junk.
 """
 
 from __future__ import annotations
@@ -48,13 +49,13 @@ def _marks(attributes: str) -> set[str]:
 
 
 def blocks(page: str) -> tuple[bool, list[tuple[str, int]]]:
-    """Whether a page has an article, and its blocks in order as (text, kind): 2 article, 1 loose, 0 junk by its markup.
+    """Whether a page has an article, and its blocks in order as (text, kind): 2 article, 1 loose, 0 junk by its elements, 3 junk by words of its attributes alone.
 
     Character references are decoded and white space is made single. Elements left open end with the
     element around them; an article ends any junk that was left open before it.
     """
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # (name, in junk, in article)
+    stack: list[tuple[str, int, bool]] = []  # (name, in junk: 1 by words, 2 by an element; in article)
     buffer: list[str] = []
     has = False
 
@@ -63,8 +64,8 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int]]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                junk, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((text, 0 if junk else 2 if inside else 1))
+                junk, inside = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                out.append((text, (2 if inside else 1, 3, 0)[junk]))
 
     at, end = 0, len(page)
     while at < end:
@@ -101,25 +102,25 @@ def blocks(page: str) -> tuple[bool, list[tuple[str, int]]]:
                 buffer.append(" ")
             continue
         marks = _marks(m[3]) if "=" in m[3] else set()
-        junk = bool(marks & JUNK_WORDS)
+        junk = int(bool(marks & JUNK_WORDS))
         if name in INLINE:
             if junk:
                 flush()
-                stack.append((name, True, stack[-1][2] if stack else False))
+                stack.append((name, max(stack[-1][1], 1) if stack else 1, stack[-1][2] if stack else False))
             continue
         flush()
         if name in _CLOSED_BY_BLOCK or stack and stack[-1][0] == "p":
             while stack and stack[-1][0] in (("p",) if name not in _CLOSED_BY_BLOCK else ("p", name)):
                 stack.pop()
-        _, before, inside = stack[-1] if stack else ("", False, False)
+        _, before, inside = stack[-1] if stack else ("", 0, False)
         opens = not junk and (name in ARTICLE or bool(marks & ARTICLE_WORDS) and name in ("div", "section", "td"))
         if opens and not inside:
-            before, inside, has = False, True, True
+            before, inside, has = 0, True, True
         elif name in JUNK and not (inside and name == "header"):
-            junk = True
+            junk = 2
         if m[3].endswith("/"):
             continue
-        stack.append((name, before or junk, inside))
+        stack.append((name, max(before, junk), inside))
     flush()
     return has, out
 
@@ -186,14 +187,19 @@ def runs(stream: np.ndarray, run: int = RUN) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _doubtful(has: bool) -> tuple[int, ...]:
+    """Kinds of blocks about which the shared runs decide, on pages with an article and without."""
+    return (1,) if has else (1, 3)
+
+
 def _loose(batches):
-    """Pages to (row, host, open, tokens): the stream of all text outside the article; open: no article, so some of it may be content."""
+    """Pages to (row, host, open, tokens): the stream of all text that isn't the article's; open: some of it may be content."""
     for pdf in batches:
         out = []
         for row, url, page in zip(pdf["row"], pdf["url"], pdf["html"]):
             has, found = blocks(page or "")
-            stream = _tokens([t for t, kind in found if kind < 2])
-            out.append((row, host(url), not has and any(kind for _, kind in found), stream.view(np.int64), len(stream)))
+            stream = _tokens([t for t, kind in found if kind != 2])
+            out.append((row, host(url), any(kind in _doubtful(has) for _, kind in found), stream.view(np.int64), len(stream)))
         yield pd.DataFrame(out, columns=["row", "host", "open", "tokens", "n"])
 
 
@@ -230,7 +236,7 @@ def _finish(batches):
         out = []
         for i, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"]):
             has, found = blocks(page or "")
-            if has or not any(kind for _, kind in found):
+            if not any(kind in _doubtful(has) for _, kind in found):
                 out.append((i, url, " ".join(t for t, kind in found if kind == 2)))
         df = pd.DataFrame(out, columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
         yield df.assign(n_chars=df["text"].map(len))
@@ -244,18 +250,21 @@ def _positions(batches):
 
 
 def _open(batches):
-    """Open pages: their blocks without the covered tokens."""
+    """Open pages: the article, and the doubtful blocks without the covered tokens."""
     for pdf in batches:
         out = []
         for i, url, page, at in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["covered"]):
-            _, found = blocks(page or "")
-            parts = [(t.split(), kind) for t, kind in found if kind < 2]
-            gone = np.zeros(sum(len(w) for w, _ in parts) + RUN, bool)
+            has, found = blocks(page or "")
+            parts = [(t.split(), kind) for t, kind in found]
+            gone = np.zeros(sum(len(w) for w, kind in parts if kind != 2) + RUN, bool)
             for a in at if at is not None else ():
                 gone[a : a + RUN] = True
             kept, k = [], 0
             for w, kind in parts:
-                if kind:
+                if kind == 2:
+                    kept += w
+                    continue
+                if kind in _doubtful(has):
                     kept += [x for j, x in enumerate(w) if not gone[k + j]]
                 k += len(w)
             out.append((i, url, " ".join(kept)))
@@ -268,7 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html counts as empty; pages with null or odd URLs share the host "". Repeated rows are one page
     for the suffix arrays and separate rows of the result; other columns are ignored. Articles are kept
-    whole, even if pages share them. Only the text outside articles is shuffled.
+    whole, even if pages share them; loose text is kept but for what pages share. Only the text outside articles is shuffled.
     """
     bounded_batches(pages.sparkSession)
     result = "page_id long, url string, text string, n_chars long"
