@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +32,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests, one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local one if all runs on one machine (tests); a cluster must name one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,10 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewake-"))
     return sc.getCheckpointDir()
 
 
+#: Folders that keep() has written; results may still read them, so they go when the driver ends.
+_KEPT: list = []
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes what keep() has written so far; frames that read it can't be used afterwards."""
+    while _KEPT:
+        spark, path = _KEPT.pop()
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df with a reliable checkpoint, so that lost executors cost a reread and not the whole lineage."""
     shared_dir(df.sparkSession)
@@ -47,12 +70,13 @@ def keep(df: DataFrame) -> DataFrame:
     """Like cut(), as a compressed Parquet table in the shared folder: for wide rows that are read more than once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewake-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch: what a worker holds at once follows from it, and its allocators don't give memory back.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: what a worker holds at once follows from it, and its allocators don't give memory back.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: A list of ids up to this many bytes is broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -68,10 +92,14 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get at most BATCH_ROWS rows at once, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Python workers get at most BATCH_ROWS rows and about BATCH_BYTES bytes at once (or one row), unless the session asks for less.
+
+    Plans read the settings when they run, so they are lowered for the session and stay so.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, "-1").lower().rstrip("b")
+        if not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_lower, without
+from .common import BROADCAST_BYTES, ascii_lower, cut, let, without
 
 #: What separates words, after A-Z are lower-cased: ASCII other than digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,20 +17,9 @@ def words(text: Column) -> Column:
 
 
 def _grams(hashes: Column, n: int) -> Column:
-    """Hashes of all n consecutive elements, by doubling: every step joins two neighbouring runs."""
-    def cut(a, k):  # without the first k
-        return F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
-
-    out, have, power, size = None, 0, hashes, 1
-    while True:
-        if n & size:
-            rest = power if out is None else cut(power, have)
-            out = rest if out is None else F.filter(F.zip_with(out, rest, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
-            have += size
-        size *= 2
-        if size > n:
-            return out
-        power = F.filter(F.zip_with(power, cut(power, size // 2), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
+    """Hashes of all runs of n elements, by position; none if there are fewer."""
+    whole = lambda h: F.filter(F.sequence(F.lit(0), F.size(h)), lambda i: i + n <= F.size(h))
+    return let(hashes, lambda h: F.transform(whole(h), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n)))))
 
 
 def windows(items: DataFrame, n: int) -> DataFrame:
@@ -41,37 +30,78 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     return w.select("item_id", "k", "w", at.alias("at")).select("item_id", "k", F.array_join(F.slice("w", F.col("at"), F.col("k")), " ").alias("gram")).distinct()
 
 
+def _hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Per row of docs: doc_id, n_words, hits (array of (at, k): verified windows, at from 0), items (sorted strings), contaminated.
 
     Null or wordless texts have no words and no hits; null item texts no windows; items of fewer than n
     words are one window. Equal item texts all count. Repeated rows, null doc_ids and equal doc_ids keep
-    one result row each. Other columns are ignored.
+    one result row each; empty tables give no rows or no hits. Other columns are ignored, whatever their names.
+    A text may have any length: its words are held once, its windows are rows of a few numbers.
 
-    One scan: each document's window hashes meet the broadcast set in the task that made them (a set above
-    BROADCAST_BYTES is joined by shuffle), and only hits and one row per document are shuffled. A hash hit is verified by its words.
+    One scan: each document's window hashes meet the broadcast set of benchmark hashes in the task that made them, and only
+    hits, with the window's words to verify them, and one row per document are shuffled. Where the set is above BROADCAST_BYTES
+    see _scan_large.
     """
-    grams = windows(benchmark, n)
-    by_hash = grams.groupBy("k", "gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    sizes = [r["k"] for r in by_hash.select("k").distinct().orderBy("k").collect()]  # n of them at most
-    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    by_hash = by_hash.withColumn("h", F.element_at(F.coalesce(*(F.when(F.col("k") == k, _grams(hashed(F.split("gram", " ")), k)) for k in sizes or [1])), 1))
-    small = by_hash.agg(F.sum(F.length("gram") + 64)).first()[0] or 0
-    by_hash = by_hash.select(F.col("k").alias("wk"), "h", "gram", "items")
-    by_hash = F.broadcast(by_hash) if small <= BROADCAST_BYTES else by_hash
-
+    grams = cut(_by_hash(windows(benchmark, n), n))
+    sizes = [r["k"] for r in grams.select("k").distinct().orderBy("k").collect()]  # n of them at most
+    if grams.count() * 32 > BROADCAST_BYTES:
+        return _scan_large(docs, grams, sizes)
+    set_ = F.broadcast(grams.select(F.col("k").alias("wk"), F.col("h").alias("wh")).distinct())
     row = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
-    row = row.withColumn("hs", hashed(F.col("w")))
     nothing = F.struct(F.lit(0).alias("k"), F.array(F.lit(None).cast("long")).alias("hs"))  # keeps documents without hits
-    runs = F.array(nothing, *(F.struct(F.lit(k).alias("k"), _grams(F.col("hs"), k).alias("hs")) for k in sizes))
+    runs = let(_hashes(F.col("w")), lambda hs: F.array(nothing, *(F.struct(F.lit(k).alias("k"), _grams(hs, k).alias("hs")) for k in sizes)))
     each = row.select("row", "doc_id", "w", F.explode(runs).alias("run")).select("row", "doc_id", "w", F.col("run.k").alias("k"), F.posexplode("run.hs").alias("at", "h"))
-    met = each.join(by_hash, (each["h"] == by_hash["h"]) & (each["k"] == by_hash["wk"]), "left").where("k = 0 OR gram IS NOT NULL")
-    true = F.array_join(F.slice("w", F.col("at") + 1, F.greatest("k", F.lit(1))), " ") == F.col("gram")
-    met = met.select("row", "doc_id", F.when(F.col("k") == 0, F.size("w")).alias("n"), F.when((F.col("k") > 0) & true, F.struct("at", "k")).alias("hit"), F.when((F.col("k") > 0) & true, F.col("items")).alias("its"))
-    out = met.groupBy("row", "doc_id").agg(F.max("n").alias("n"), F.collect_list("hit").alias("hits"), F.collect_set("its").alias("its"))
-    return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), F.array_sort("hits").alias("hits"), F.sort_array(F.array_distinct(F.flatten("its"))).alias("items"), (F.size("hits") > 0).alias("contaminated")
-    )
+    met = each.join(set_, (each["h"] == F.col("wh")) & (each["k"] == F.col("wk")), "left").where("k = 0 OR wh IS NOT NULL")
+    met = met.select("row", "doc_id", F.when(F.col("k") == 0, F.size("w")).alias("n"), "k", "at", "h", F.when(F.col("k") > 0, _window()).alias("gram"))
+    known = grams.select("k", "h", "gram", "items")
+    known = F.broadcast(known) if _bytes(grams) <= BROADCAST_BYTES else known
+    met = met.join(known, ["k", "h", "gram"], "left").where("k = 0 OR items IS NOT NULL")
+    hit = F.when(F.col("k") > 0, F.struct("at", "k"))
+    out = met.groupBy("row", "doc_id").agg(F.max("n").alias("n"), F.collect_list(hit).alias("hits"), F.collect_set("items").alias("its"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_words"), *_found())
+
+
+def _by_hash(grams: DataFrame, n: int) -> DataFrame:
+    """(k, h, gram, items): every window's hash, as documents' windows have it, and the items that hold it."""
+    by = grams.groupBy("k", "gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    h = F.coalesce(*(F.when(F.col("k") == k, F.get(_grams(_hashes(F.split("gram", " ")), k), F.lit(0))) for k in range(1, n + 1)))
+    return by.select("k", h.alias("h"), "gram", "items")
+
+
+def _bytes(grams: DataFrame) -> int:
+    return grams.agg(F.sum(F.length("gram") * 2 + 64 + 24 * F.size("items"))).first()[0] or 0
+
+
+def _window() -> Column:
+    return F.array_join(F.slice("w", F.col("at") + 1, F.greatest("k", F.lit(1))), " ")
+
+
+def _found() -> list[Column]:
+    return [F.array_sort("hits").alias("hits"), F.sort_array(F.array_distinct(F.flatten("its"))).alias("items"), (F.size("hits") > 0).alias("contaminated")]
+
+
+def _scan_large(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """scan() for a benchmark of any size: windows are shuffled as (text's sha256, position, hash), without their words.
+
+    What they meet goes back to the texts, dealt by that sha256, to be verified there; equal texts are worked on once.
+    """
+    texts = docs.select(F.coalesce(F.sha2("text", 256), F.lit("")).alias("key"), words(F.col("text")).alias("w"))
+    once = texts.dropDuplicates(["key"])
+    runs = let(_hashes(F.col("w")), lambda hs: F.array(*(F.struct(F.lit(k).alias("k"), _grams(hs, k).alias("hs")) for k in sizes)))
+    each = once.select("key", F.explode(runs).alias("run")).select("key", F.col("run.k").alias("k"), F.posexplode("run.hs").alias("at", "h")) if sizes else None
+    if each is None:
+        each = once.select("key", F.lit(1).alias("k"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h")).limit(0)
+    met = cut(each.join(grams.select("k", "h").distinct(), ["k", "h"]))
+    verified = met.join(once, "key").select("key", "k", "at", "h", _window().alias("gram")).join(grams, ["k", "h", "gram"])
+    found = verified.groupBy("key").agg(F.collect_list(F.struct("at", "k")).alias("hits"), F.collect_set("items").alias("its"))
+    rows = docs.select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    none = F.array().cast("array<struct<at:int,k:int>>"), F.array().cast("array<array<string>>")
+    out = rows.join(found, "key", "left").withColumns({"hits": F.coalesce("hits", none[0]), "its": F.coalesce("its", none[1])})
+    return out.select("doc_id", "n_words", *_found())
 
 
 def covered(hits: Column) -> Column:
@@ -93,7 +123,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs (same columns) without the rows that hold a window of the benchmark, whatever their doc_ids.
 
-    A verdict depends on the text alone, so the text's sha256 is the key by which exactly the hit rows go.
+    Null, empty and wordless texts stay, an empty benchmark drops nothing, and repeated rows share a verdict. A verdict depends on the text alone, so the text's sha256 is the key by which exactly the hit rows go.
     """
     key = "__text_sha256"
     keyed = docs.withColumn(key, F.sha2("text", 256))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: kind -> pattern, in the order that settles ties.
 BASE = {
     "assign": r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -24,23 +26,75 @@ SIDE = len(ALPHABET) + 1  # 0: the start
 MARGIN = 0.5
 #: One identifier in so many trains; the share, not the count, is fixed, so the sample grows with the corpus.
 SAMPLE = 64
+#: Elements of a block: what a fold may copy for each element.
+BLOCK = 128
+#: Stands for each code point of a base span where the models look; no candidate holds it.
+HIDDEN = " "
+
+
+def _blocks(values: Column) -> Column:
+    """The array cut into arrays of BLOCK elements; none for an empty one."""
+
+    def cut(vs):
+        n = F.ceil(F.size(vs) / BLOCK).cast("int")
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda b: b < n), lambda b: F.slice(vs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return let(values, cut)
+
+
+def _scan(values: Column, first: Column, join) -> Column:
+    step = lambda acc, x: F.struct(join(acc["t"], x).alias("t"), F.array_append(acc["out"], acc["t"]).alias("out"))
+    return F.aggregate(values, F.struct(first.alias("t"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def running(values: Column, join) -> Column:
+    """What join makes, from 0 on, of the elements before each one of an int array.
+
+    In two levels, blocks and their totals: appending to an array copies it, so one fold over n elements would copy n * n / 2.
+    """
+    total = lambda b: F.aggregate(b, F.lit(0), join)
+    return let(_blocks(values), lambda bs: F.flatten(F.zip_with(bs, _scan(F.transform(bs, total), F.lit(0), join), lambda b, t: _scan(b, t, join))))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches as structs (start, end, kind, value) in code points: pieces between matches and matches, added up."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-        F.array_append(
-            acc["out"],
-            F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value")),
-        ).alias("out"),
-    )
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.filter(empty, lambda _: F.lit(False)).alias("out"))
-    spans = F.aggregate(F.filter(lengths, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.filter(empty, lambda _: F.lit(False)))
+    span = lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+
+    def placed(ms):
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms)), ms, lambda p, m: F.length(p) + F.length(m))
+        return let(sizes, lambda ls: F.zip_with(F.zip_with(running(ls, _plus), ls, _plus), ms, span))
+
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(none)
+
+
+def replaced(text: Column, spans: Column, fill) -> Column:
+    """The text with fill(length) for each of the spans (sorted by start); of a span that overlaps those before it, the
+    rest only. length is what the span adds, or 0 for an overlapping one if it adds nothing.
+
+    By blocks of spans: a block's part of the text is cut out first, so that no span looks for its place from the text's start.
+    """
+
+    def pieces(b):  # a block of structs (from, start, end): from is where the spans before it end
+        low = F.get(b, F.lit(0))["from"]
+        high = F.aggregate(b, F.lit(0), lambda m, s: F.greatest(m, s["end"]))
+        part = F.substr(text, low + 1, F.greatest(high - low, F.lit(0)))
+        gap = lambda t, s: F.substr(t, s["from"] - low + 1, F.greatest(s["start"] - s["from"], F.lit(0)))
+        return let(part, lambda t: F.array_join(F.transform(b, lambda s: F.concat(gap(t, s), fill(s["end"] - F.greatest(s["start"], s["from"]), s["start"] >= s["from"]))), ""))
+
+    ends = F.transform(spans, lambda s: s["end"])
+    placed = F.zip_with(running(ends, _most), spans, lambda f, s: F.struct(f.alias("from"), s["start"].alias("start"), s["end"].alias("end")))
+    whole = lambda bs: F.array_join(F.transform(bs, pieces), "")
+    return F.concat(let(_blocks(placed), whole), F.substr(text, F.aggregate(ends, F.lit(0), _most) + 1))
 
 
 def base_spans(text: Column) -> Column:
@@ -90,7 +144,7 @@ def _ratios(counts: dict[tuple[int, int], int]) -> list[float]:
 
 def markov_spans(text: Column, ratios: list[float], margin: float = MARGIN) -> Column:
     """Candidate runs with a letter whose mean log-likelihood ratio reaches the margin, as spans of kind markov."""
-    table = F.array(*(F.lit(r) for r in ratios))
+    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # one literal, folded once
 
     def wins(s):
         cells = _cells(s["value"])
@@ -109,16 +163,19 @@ def _order(s: Column) -> Column:
 def scan(docs: DataFrame, ratios: list[float] | None = None, margin: float = MARGIN, base: str = "base", found: str = "found") -> DataFrame:
     """docs with two more columns, named base and found: sorted arrays of structs (start, rank, end, kind), code points, end exclusive.
 
-    base holds the spans of the fixed patterns; found also those of the Markov models that overlap none
-    of them. Null text counts as empty and has none. A row's spans depend on its text and the trained
-    table alone, so repeated rows agree. The models are trained on docs unless their table is given.
+    base holds the spans of the fixed patterns; found also those of the Markov models, which see the text with the base
+    spans blanked out. Null text counts as empty and has none; an empty table gives an empty one. A row's spans depend on
+    its text and the trained table alone, so repeated rows agree and ids don't matter; equal starts go by kind as listed.
+    Work grows in proportion to a text's length and spans, however many. A column of docs that is called as base or found
+    says is replaced. The models are trained on docs unless their table is given.
     """
     ratios = train(docs) if ratios is None else ratios
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(base, F.array_sort(F.transform(base_spans(text), _order)))
-    clear = lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter(F.transform(markov_spans(text, ratios, margin), _order), clear)
-    return out.withColumn(found, F.array_sort(F.concat(F.col(base), more)))
+    blank = F.when(F.size(base) > 0, replaced(text, F.col(base), lambda n, _: F.repeat(F.lit(HIDDEN), n))).otherwise(text)
+    hidden = "__blanked"
+    more = F.transform(markov_spans(F.col(hidden), ratios, margin), _order)
+    return out.withColumn(hidden, blank).withColumn(found, F.array_sort(F.concat(F.col(base), more))).drop(hidden)
 
 
 def joined(spans: Column) -> Column:
@@ -134,16 +191,13 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """docs (same columns) with every found span replaced by mark, overlapping spans as one; n_chars follows. Null text stays null."""
+    """docs (same columns) with every found span replaced by mark, overlapping spans as one; n_chars follows. Null text stays null.
+
+    Rows are worked on one by one: null or equal doc_ids, repeated rows and empty tables need no care, and other columns stay as they are.
+    """
     out = scan(docs, base="__base", found="__found", **options)
     text = F.col("text")
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__found", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    new = F.when(F.size("__found") > 0, clean).otherwise(text)
+    new = F.when(F.size("__found") > 0, replaced(text, F.col("__found"), lambda n, apart: F.when(apart, F.lit(mark)).otherwise(F.lit("")))).otherwise(text)
     cols = {c: F.col(c) for c in docs.columns} | {"text": new}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.when(F.size("__found") > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
