@@ -2,25 +2,30 @@
 
 A k-mer of code points is a closed syncmer if its least s-mer (by hash) is its first or its last one. Whether it
 is depends on its own characters alone, so equal passages give equal anchors wherever they stand. A document's
-fingerprint keeps the least anchor hash in each of BINS bins, one byte each; the share of equal filled bins
-estimates how much of their anchors two texts have in common.
+fingerprint keeps the least anchor hash in each of BINS bins, one byte each, and the order in which these anchors
+stand in the text, another byte each. Two texts are matched by position: of the bins that are equal, those count
+that stand in the same order in both (the longest chain of them); their share of the filled bins estimates how much of
+their anchors the texts have in common, in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, code_points, mix, slices
+from .common import BROADCAST_BYTES, bounded_batches, code_points, cut, mix, slices
 
 K, S, BINS = 16, 8, 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: About so many documents make a range of ids, until there are MOST_RANGES of them; a range is streamed, never held.
-RANGE_ROWS, MOST_RANGES = 1024, 1024
+#: About so many documents make a range of ids, however many ranges that gives; a range is streamed, never held.
+RANGE_ROWS = 4096
+#: Ids that are looked at for each bound between ranges (any bounds give the same result).
+LOOKED_AT = 4
 #: Longer texts are read in pieces of so many code points that overlap by K - 1, so that memory stays bounded.
 PIECE = 1 << 20
 
@@ -81,27 +86,46 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def sketches(texts: list[str]) -> np.ndarray:
-    """A row of BINS bytes for each text; 0: no anchor falls into the bin."""
+    """A row of 2 * BINS bytes for each text: its anchors' hashes by bin (0: no anchor falls into the bin), and their places in the text's order."""
     none = np.iinfo(np.uint64).max
     least = np.full(len(texts) * BINS, none, np.uint64)
-    of, _, parts = pieces(texts)
-    for a, b in slices(parts, PIECE):
-        doc, _, val = anchors(parts[a:b])
-        slot = of[a + doc] * BINS + (val >> np.uint64(57)).astype(np.int64)
-        np.minimum.at(least, slot, val & np.uint64(2**57 - 1))
-    out = np.where(least == none, 0, (mix(least) % np.uint64(255)).astype(np.uint8) + np.uint8(1))
-    return out.astype(np.uint8).reshape(len(texts), BINS)
+    place = np.zeros(len(texts) * BINS, np.int64)
+    for doc, pos, val in _found(texts):
+        slot = doc * BINS + (val >> np.uint64(57)).astype(np.int64)
+        val = val & np.uint64(2**57 - 1)
+        order = np.lexsort((pos, val, slot))
+        head = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]  # the least of each bin, where it stands first
+        better = head[val[head] < least[slot[head]]]
+        least[slot[better]], place[slot[better]] = val[better], pos[better]
+    hashes = np.where(least == none, 0, (mix(least) % np.uint64(255)).astype(np.uint8) + np.uint8(1)).astype(np.uint8).reshape(len(texts), BINS)
+    place = np.where(least == none, -1, place).reshape(len(texts), BINS)
+    rank = np.argsort(np.argsort(place, axis=1, kind="stable"), axis=1).astype(np.uint8)
+    return np.hstack([hashes, np.where(hashes > 0, rank, 0).astype(np.uint8)])
+
+
+def _chain(x: np.ndarray) -> int:
+    """Length of the longest increasing subsequence."""
+    tails: list[int] = []
+    for v in x.tolist():
+        k = bisect_left(tails, v)
+        tails[k : k + 1] = [v]
+    return len(tails)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal bins among those that either row fills, by row; 1 if both are empty."""
-    any_ = (a > 0) | (b > 0)
-    n = any_.sum(1)
-    return np.where(n == 0, 1.0, ((a == b) & any_).sum(1) / np.maximum(n, 1))
+    """By row: of the bins that either row fills, the share that are equal and stand in the same order in both; 1 if both are empty."""
+    a, in_a, b, in_b = a[:, :BINS], a[:, BINS:], b[:, :BINS], b[:, BINS:]
+    filled = ((a > 0) | (b > 0)).sum(1)
+    same = (a == b) & (a > 0)
+    chained = np.zeros(len(a))
+    for i in np.flatnonzero(same.any(1)):
+        x, y = in_a[i, same[i]], in_b[i, same[i]]
+        chained[i] = len(x) if (x == y).all() else _chain(y[np.argsort(x)])
+    return np.where(filled == 0, 1.0, chained / np.maximum(filled, 1))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (lowercase hex of its BINS bytes), n_anchors. Null text counts as empty: all bins empty."""
+    """Per row of docs: doc_id, fingerprint (lowercase hex of its 2 * BINS bytes), n_anchors. Null text counts as empty: all bins empty."""
 
     def run(batches):
         for pdf in batches:
@@ -136,56 +160,73 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, at long, anchor long")
 
 
-def _ordered(docs: DataFrame) -> tuple[DataFrame, list]:
-    """docs dealt out by ranges of descending doc_id, each range with a copy of the row that follows it.
+def _key() -> list:
+    """What documents are ordered by, descending: whether the id is known, the id, and a hash of the text for equal ids."""
+    return [F.col("doc_id").isNotNull().cast("long").alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h")]
+
 
-    Ranges are cut at evenly spaced ranks of doc_id (approximate percentiles: any cuts give the same result).
-    Only one id per range reaches the driver.
+def _bounds(docs: DataFrame) -> np.ndarray:
+    """Rows (known, id, h), ascending: keys that cut docs into ranges of about RANGE_ROWS rows.
+
+    They are taken from a sample by hash, of which a few rows a range reach the driver (24 bytes each): any bounds give the same result.
     """
-    ids = docs.select("doc_id")
-    n = min(MOST_RANGES, max(1, ids.count() // RANGE_ROWS))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    # Range 0 has the largest ids; nulls follow the smallest, in a range of their own.
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - _bisect(cuts))
-    return docs.withColumn("part", part.cast("int")), cuts
+    n = docs.count() // RANGE_ROWS
+    if n < 1:
+        return np.empty((0, 3), np.int64)
+    share = F.pmod(F.xxhash64("known", "id", "h"), F.lit(1 << 30)) <= F.lit((1 << 30) * LOOKED_AT // RANGE_ROWS)
+    some = docs.select(*_key()).where(share).distinct().toPandas().to_numpy(np.int64).reshape(-1, 3)
+    some = some[np.lexsort((some[:, 2], some[:, 1], some[:, 0]))]
+    return some[np.unique(np.linspace(0, len(some), n + 1).astype(int)[1:-1])] if len(some) else some
+
+
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Rows of three numbers as strings of 24 bytes that sort as the rows do."""
+    return (np.ascontiguousarray(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view("S24").reshape(len(x))
+
+
+def _range_of(bounds: np.ndarray):
+    """Column function: the number of the range of (known, id, h); range 0 has the largest keys."""
+    cuts = _sortable(bounds)
 
+    def number(known: pd.Series, id_: pd.Series, h: pd.Series) -> pd.Series:
+        x = _sortable(np.stack([known, id_, h], 1))
+        return pd.Series(len(cuts) - np.searchsorted(cuts, x, "right")).astype(np.int64)
 
-def _bisect(cuts: list):
-    """How many cuts are below doc_id, as nested halves."""
-    if not cuts:
-        return F.lit(0)
-    m = len(cuts) // 2
-    return F.when(F.col("doc_id") > cuts[m], F.lit(m + 1) + _bisect(cuts[m + 1 :])).otherwise(_bisect(cuts[:m]))
+    return F.pandas_udf(number, "long")
 
 
 def against_next(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one that follows in descending doc_id, null ids last, equal ids by descending
-    text; after the last comes the first, and a single row is its own next one. The edited text ends in the
+    hash of the text; after the last comes the first, and a single row is its own next one. The edited text ends in the
     next text's first floor(n/2) code points (or all of it) in place of its own last floor(n/2). Null texts
-    count as empty; equal texts get equal fingerprints; repeated rows stay separate rows.
+    count as empty; equal texts get equal fingerprints; repeated rows stay separate rows; an empty table gives none.
+    Very long texts are read whole, in pieces. Other columns are ignored, whatever their names.
 
-    Every text is shuffled once, to a range of ids of about RANGE_ROWS rows; the row at the head of a range
-    is also sent to the range before it, so no task needs another's rows. Nothing is collected but the ranges' bounds.
+    Every text is shuffled once, to a range of keys of about RANGE_ROWS rows; one row of the key at the head of a range
+    is also sent to the range before it, so no task needs another's rows. Bounds cut equal and null ids by their texts' hashes,
+    so only rows that are equal in id and text share a range however many they are, and those are streamed.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts, _ = _ordered(docs)
-    # The head of each range: its largest id. Of rows with that id the largest text leads, and all of them travel along.
-    heads = {r["part"]: r["head"] for r in parts.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads)
-    before = {heads[p]: order[i - 1] for i, p in enumerate(order)}  # head id -> the range that needs a copy (the last one, for the first)
-    ids = [h for h in before if h is not None]
-    copy = F.element_at(F.create_map(*(x for h in ids for x in (F.lit(h), F.lit(before[h])))), F.col("doc_id")) if ids else F.lit(None).cast("int")
-    is_head = F.col("doc_id").isin(ids) if ids else F.lit(False)
-    copy = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int")).when(is_head, copy)
-    mine = F.struct(F.col("part").alias("part"), F.lit(False).alias("copy"))
-    both = F.when(copy.isNotNull(), F.array(mine, F.struct(copy.alias("part"), F.lit(True).alias("copy")))).otherwise(F.array(mine))
-    dealt = parts.select("doc_id", "text", F.explode(both).alias("to")).select("to.part", "to.copy", "doc_id", "text")
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return dealt.mapInPandas(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    keyed = docs.select("doc_id", "text", *_key())
+    number = _range_of(_bounds(keyed))
+    parts = keyed.withColumn("part", number("known", "id", "h"))
+    # The head of each range: its largest key, as one row of that key with the number of the range before it.
+    heads = cut(parts.groupBy("part").agg(F.max(F.struct("known", "id", "h")).alias("k")))
+    before = Window.partitionBy("block").orderBy("part")
+    # Numbers of ranges in a row, without gathering them: the last of each thousand is handed to the next.
+    block = heads.withColumn("block", F.expr("part div 1000"))
+    last = block.groupBy("block").agg(F.max("part").alias("end")).withColumn("all", F.lit(0))
+    last = last.select("block", F.coalesce(F.lag("end").over(Window.partitionBy("all").orderBy("block")), F.max("end").over(Window.partitionBy("all"))).alias("earlier"))
+    target = block.join(last, "block").select("k.*", F.coalesce(F.lag("part").over(before), "earlier").alias("to"))
+    mine = ["known", "id", "h"]
+    target = F.broadcast(target) if heads.count() * 64 <= BROADCAST_BYTES else target
+    copies = keyed.join(target, mine).dropDuplicates(mine).select(F.col("to").alias("part"), F.lit(True).alias("copy"), "doc_id", "h", "text")
+    dealt = parts.select("part", F.lit(False).alias("copy"), "doc_id", "h", "text").unionByName(copies)
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.desc("h"))
+    return dealt.drop("h").mapInPandas(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _edit(batches):
