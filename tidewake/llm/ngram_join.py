@@ -80,13 +80,21 @@ def _key(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ _BASE).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-_DEALT = "bucket int, batch long, head string, repeated binary, times binary, owners binary, counts binary, weights binary, own_weights binary, low binary, high binary"
-_COUNTED = "batch long, bucket int, head string, repeated binary, times binary, owners binary, counts binary, elements binary, ranks binary"
+_DEALT = "bucket long, batch long, head string, repeated binary, times binary, owners binary, docs binary, weights binary, low binary, high binary"
+_COUNTED = "batch long, head string, repeated binary, times binary, owners binary, docs binary, elements binary, ranks binary"
+
+
+def _element(entry: np.ndarray, bucket: np.ndarray | int, buckets: int) -> np.ndarray:
+    """The number that stands for an element: 48 bits of its hash's quotient by buckets, and the remainder."""
+    return entry * np.uint64(buckets) + np.asarray(bucket).astype(np.uint64)
 
 
 def _deal(buckets: int, words: int):
     """Batches of documents to rows (bucket, batch, ...): the elements of one batch that fall in one bucket.
 
+    A row holds 12 bytes for each of its elements and nothing that grows with the batch or the number of buckets, and empty
+    buckets get none, so what is sent grows with the elements alone, whatever the corpus's size.
+
     What a batch repeats is summed before it is sent: equal sets send their elements once, for the first of them, and an
     element of several sets is sent once for the batch as a whole (the document after the last). Who has it stays with the
     batch: it travels with the head, which goes to a bucket by the batch's number. So an element that most documents have
@@ -110,62 +118,56 @@ def _deal(buckets: int, words: int):
                 again = many[where]
                 total = np.bincount(where, weight[doc], len(seen))[many].astype(np.uint32)
                 owners = doc[again][np.argsort(where[again], kind="stable")]
+                weights = np.concatenate([weight[doc[~again]], total])
                 flat = np.concatenate([flat[~again], seen[many]])
                 doc = np.concatenate([doc[~again], np.full(many.sum(), whole, np.uint32)])
-                weights = np.concatenate([np.zeros(len(flat) - len(total), np.uint32), total])
-                bucket = ((flat >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint32)
-                entry = flat & _ENTRY
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                bucket, entry = (flat % np.uint64(buckets)).astype(np.int64), flat // np.uint64(buckets) & _ENTRY
+                own = _element(entry[doc == whole], bucket[doc == whole], buckets)
                 batch, number = (part << 32) + number, number + 1
-                lead = batch % buckets
-                own = entry[doc == whole] | (bucket[doc == whole].astype(np.uint64) << np.uint64(48))
                 home = (head.assign(key=head["key"].map(bytes.hex)).to_json(orient="values"), own.tobytes(), times[many].astype(np.uint32).tobytes(), owners.tobytes())
-                out = []
-                for i in range(buckets):
-                    at = order[ends[i] : ends[i + 1]]
-                    if len(at) or i == lead:
-                        d, e = doc[at], entry[at]
-                        counts = np.bincount(d, minlength=whole + 1).astype(np.uint32)
-                        out.append((i, batch, *(home if i == lead else (None,) * 4), counts.tobytes(), weight.tobytes(), weights[at][d == whole].tobytes(), e.astype(np.uint32).tobytes(), (e >> np.uint64(32)).astype(np.uint16).tobytes()))
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                some, lead, out = bucket[starts], batch % buckets, []
+                for i, s, e in zip(some.tolist(), starts, [*starts[1:], len(order)]):
+                    at = order[s:e]
+                    q = entry[at]
+                    out.append((i, batch, *(home if i == lead else (None,) * 4), doc[at].astype(np.uint16).tobytes(), weights[at].tobytes(), q.astype(np.uint32).tobytes(), (q >> np.uint64(32)).astype(np.uint16).tobytes()))
+                if lead not in some:
+                    out.append((lead, batch, *home, b"", b"", b"", b""))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _DEALT.split(", ")])
 
     return run
 
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+def _count(buckets: int):
     """One bucket: drops elements that one document alone has; the others get their (rounded) frequency."""
-    bucket = int(pdf["bucket"].iloc[0])
-    counts = [np.frombuffer(x, np.uint32) for x in pdf["counts"]]
-    low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
-    entry = [a.astype(np.uint64) | (np.frombuffer(b, np.uint16).astype(np.uint64) << np.uint64(32)) for a, b in zip(low, pdf["high"])]
-    docs = [np.repeat(np.arange(len(c)), c) for c in counts]
-    weight = [np.concatenate([np.frombuffer(x, np.uint32)[d[d < len(c) - 1]], np.frombuffer(own, np.uint32)]) for x, own, d, c in zip(pdf["weights"], pdf["own_weights"], docs, counts)]
-    seen, where = np.unique(np.concatenate(entry), return_inverse=True)
-    df = np.bincount(where, np.concatenate(weight), len(seen))
-    rank = np.minimum(255, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
-    often = (df >= 2)[where]
-    out, at = [], 0
-    for row, d, e, c in zip(pdf[["batch", "head", "repeated", "times", "owners"]].itertuples(index=False), docs, entry, counts):
-        k = often[at : at + len(e)]
-        r = rank[where[at : at + len(e)]][k]
-        at += len(e)
-        if k.any() or row.head is not None:
-            out.append((row.batch, bucket, *row[1:], np.bincount(d[k], minlength=len(c)).astype(np.uint32).tobytes(), e[k].tobytes(), r.tobytes()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        docs = [np.frombuffer(x, np.uint16) for x in pdf["docs"]]
+        entry = np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(pdf["high"]), np.uint16).astype(np.uint64) << np.uint64(32)
+        seen, where = np.unique(entry, return_inverse=True)
+        df = np.bincount(where, np.frombuffer(b"".join(pdf["weights"]), np.uint32), len(seen))
+        rank = np.minimum(255, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)[where]
+        often, element = (df >= 2)[where], _element(entry, bucket, buckets)
+        out, at = [], 0
+        for row, d in zip(pdf[["batch", "head", "repeated", "times", "owners"]].itertuples(index=False), docs):
+            k = at + np.flatnonzero(often[at : at + len(d)])
+            if len(k) or row.head is not None:
+                out.append((*row, d[k - at].tobytes(), element[k].tobytes(), rank[k].tobytes()))
+            at += len(d)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    return run
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     """One batch: a row per document; elements are the shared ones in the common order, null where too few are shared."""
     home = pdf[pdf["head"].notna()].iloc[0]
     head = json.loads(home["head"])
-    doc, elem, rank = [], [], []
-    for b, c, e, r in zip(pdf["bucket"], pdf["counts"], pdf["elements"], pdf["ranks"]):
-        c = np.frombuffer(c, np.uint32)
-        doc.append(np.repeat(np.arange(len(c)), c))
-        elem.append(np.frombuffer(e, np.uint64) | (np.uint64(b) << np.uint64(48)))
-        rank.append(np.frombuffer(r, np.uint8))
-    doc, elem, rank = np.concatenate(doc), np.concatenate(elem), np.concatenate(rank)
+    doc = np.frombuffer(b"".join(pdf["docs"]), np.uint16).astype(np.int64)
+    elem, rank = np.frombuffer(b"".join(pdf["elements"]), np.uint64), np.frombuffer(b"".join(pdf["ranks"]), np.uint8)
     # The batch's own entries become one for each of their owners.
     mine = doc == len(head)
     order = np.argsort(elem[mine])
@@ -196,7 +198,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
     dealt = docs.select("doc_id", "text").mapInPandas(_deal(buckets, words), _DEALT)
-    counted = dealt.groupBy("bucket").applyInPandas(_count, _COUNTED)
+    counted = dealt.groupBy("bucket").applyInPandas(_count(buckets), _COUNTED)
     return counted.groupBy("batch").applyInPandas(_gather, "doc_id long, n int, key binary, elements array<long>")
 
 
@@ -234,7 +236,7 @@ def _linked() -> str:
 def _stars(index: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, overlap): links of sets with the leading set of a list that holds them; three lists a set.
 
-    A first guess that joins most of every group at the cost of a few comparisons for each set; what it misses
+    The three are no cap on links: a first guess that joins most of every group at the cost of a few comparisons for each set; what it misses
     is found by _crossings.
     """
     lead = index.groupBy("e").agg(F.min(F.struct("at", "key", "n")).alias("p")).select("e", F.col("p.key").alias("key"), F.col("p.n").alias("n"), F.col("p.at").alias("at"))
@@ -303,7 +305,8 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Documents link when their sets' Jaccard similarity is 0.8 or more; component_id is the least doc_id that
     links reach. Null or wordless texts have the empty set, link with nothing and keep their own doc_id;
     equal sets always link; repeated rows and equal doc_ids stay separate rows; null doc_ids take part, but
-    never name a component unless all of it has none. Other columns are ignored.
+    never name a component unless all of it has none. An empty table gives no rows; a very long text is one
+    set like any other, whole, held in one task at a time. Other columns are ignored, whatever their names.
     """
     rows = keep(sets(docs, words))
     distinct = keep(_distinct(rows))
