@@ -97,8 +97,8 @@ def bounded_batches(spark: SparkSession) -> None:
     Plans read the settings when they run, so they are lowered for the session and stay so.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, "-1").lower().rstrip("b")
-        if not (now.lstrip("-").isdigit() and 0 < int(now) <= most):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
 
