@@ -1,4 +1,10 @@
-"""License scans: paragraphs to licence families by logistic regression over sparse word n-grams, confirmed by templates."""
+"""License scans: paragraphs to licence families by logistic regression over sparse word n-grams, confirmed by templates.
+
+A paragraph is a run of up to eight lines between blank ones (very long lines count by sentences), so that notices are
+found on one line or wrapped over several, behind comment marks or not. Every run of lines of every text is scored: a run's
+weights are the sums of its lines', so that costs little more than scoring the lines. What the model, calibrated on families
+that it was not trained on, gives to a family is compared with the family's templates before it counts.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, mix
 
 # Notices of each family, as they stand in files; {y} and {n} are a year and a name.
 TEMPLATES = {
@@ -37,6 +43,7 @@ TEMPLATES = {
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1.",
         "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "bsd": (
@@ -70,28 +77,70 @@ TEMPLATES = {
 }
 NAMES = tuple(sorted(TEMPLATES))
 UNKNOWN = "unknown"
+# Ordinary sentences with words of licences.
+ORDINARY = (
+    "I lost my driving licence on the way home.",
+    "The licence fee was paid last year.",
+    "Copyright is a legal term that courts have defined.",
+    "All rights belong to those who fight for them.",
+    "Permission to land was granted by the tower.",
+    "The software works without warranty cards.",
+    "She reserved all the rooms of the public house.",
+    "The university has a license for this program and its source code.",
+    "Modification of the terms needs a general agreement of both.",
+    "The foundation published a library of free books under its own name.",
+)
 
 #: Hashed word 1-, 2- and 3-grams.
 SLOTS = 1 << 15
-#: Paragraphs without a licence that train the unknown class: at most about so many, a share of documents by hash.
-NEGATIVE_DOCS = 2_000
-COPIES, EPOCHS, RATE, DECAY, SEED = 60, 12, 0.5, 1e-5, 7
-#: A prediction stands if its calibrated probability and its share of a template's bigrams (or the reverse) reach these.
-SURE, ALIKE = 0.6, 0.5
+#: Lines of a paragraph; a line of more than LONG characters counts by its sentences.
+RUNS, LONG = (1, 2, 3, 4, 6, 8), 400
+#: Words that are summed at once.
+AT_ONCE = 100_000
+#: What trains the unknown class: paragraphs of up to NEGATIVE_WORDS words from about NEGATIVE_DOCS whole documents (a share by hash), NEGATIVES of them at most.
+NEGATIVE_DOCS, NEGATIVES, NEGATIVE_WORDS = 2_000, 4_000, 120
+COPIES, EPOCHS, BATCH, RATE, DECAY, SEED = 60, 12, 128, 0.3, 1e-5, 7
+#: Families are held out in so many turns to calibrate what the model says of those it doesn't know.
+TURNS = 3
+#: Least share of a template's bigrams in a paragraph (or the reverse) that confirms a prediction.
+ALIKE = 0.5
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: A paragraph without any of these words of the templates is unknown without further ado.
-_CUES = re.compile(r"licen[sc]e|copyright|copyleft|\bcc[ 0]|creative commons|all rights|permission|permitted|redistribut|public domain|waived|\bgpl|\bspdx", re.I)
+_LINE = re.compile(r"[^\n]*\n?")
+_SENTENCE = re.compile(r"(?s).+?(?:[.!?](?=\s)|\Z)")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
-def slots(w: list[str]) -> np.ndarray:
-    """The distinct hashed n-grams of a paragraph's words."""
-    grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
-    return np.array(sorted({zlib.crc32(g.encode()) % SLOTS for g in grams}), np.int64)
+class _Hashes(dict):
+    """Word to its 64-bit hash, remembered for a while."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        data = word.encode()
+        out = self[word] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+        return out
+
+
+_HASHES = _Hashes()
+
+
+def slots(w: list[str], block: np.ndarray | None = None) -> np.ndarray:
+    """Rows of three: the slots of the 1-, 2- and 3-gram that begin at each word; SLOTS stands for none. Grams stay in one block."""
+    h = np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
+    out = np.full((len(w), 3), SLOTS, np.int32)
+    for k in range(3):
+        if len(w) > k:
+            run = h[: len(h) - k]
+            for j in range(1, k + 1):
+                run = mix(run + _STEP) + h[j : len(h) - k + j]
+            at = mix(run + np.uint64(k)) % np.uint64(SLOTS)
+            out[: len(run), k] = at if block is None else np.where(block[: len(run)] == block[k:], at, SLOTS)
+    return out
 
 
 def _bigrams(w: list[str]) -> set:
@@ -102,108 +151,206 @@ _SHAPES = {f: [_bigrams(words(t.format(y="", n=""))) for t in ts] for f, ts in T
 
 
 def likeness(w: list[str], family: str) -> float:
-    """How much of a template of the family the words hold, at best; of long ones, how much of the words one holds."""
+    """How much of a template of the family the words hold, at best; of long ones, how much of the words one holds, which counts a little less."""
     own = _bigrams(w)
-    return max(max(len(own & s) / len(s), len(own & s) / len(own) if len(own) >= 12 else 0) for s in _SHAPES[family])
+    return max(max(len(own & s) / len(s), 0.9 * len(own & s) / len(own) if len(own) >= 12 else 0) for s in _SHAPES[family])
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 @dataclass
 class Model:
-    """Weights (SLOTS x families and unknown), biases, and the temperature that calibrates their softmax."""
+    """Weights (SLOTS x families and unknown, and a row of zeros), biases, and what calibrates them: the temperature of the softmax and the least probability."""
 
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    sure: float = 0.6
+
+    def sums(self, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and numbers of grams of the pieces that begin at starts, each with a word at least."""
+        total, n = np.zeros((len(starts), len(self.bias))), np.add.reduceat((at < SLOTS).sum(1), starts)
+        for i in range(0, len(at), AT_ONCE):
+            j = min(i + AT_ONCE, len(at))
+            a, b = np.searchsorted(starts, i, "right") - 1, np.searchsorted(starts, j)
+            total[a:b] += np.add.reduceat(self.weights[at[i:j]].sum(1), np.maximum(starts[a:b] - i, 0))
+        return total, n
 
-    def logits(self, at: np.ndarray) -> np.ndarray:
-        return self.bias + (self.weights[at].sum(0) / np.sqrt(max(len(at), 1)) if len(at) else 0)
+    def probabilities(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return _softmax((self.bias + total / np.sqrt(np.maximum(n, 1))[:, None]) / self.temperature)
 
     def judge(self, paragraph: str) -> tuple[str, float, float]:
         """(family or unknown, calibrated probability, likeness to its templates)."""
         w = words(paragraph)
-        if not w or not _CUES.search(paragraph):
+        if not w:
             return UNKNOWN, 1.0, 0.0
-        z = self.logits(slots(w)) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
+        p = self.probabilities(*self.sums(slots(w), np.zeros(1, int)))[0]
         k = int(p.argmax())
         if k == len(NAMES):
             return UNKNOWN, float(p[k]), 0.0
         alike = likeness(w, NAMES[k])
-        return (NAMES[k] if p[k] >= SURE and alike >= ALIKE else UNKNOWN), float(p[k]), alike
-
-
-def _samples(negatives: list[str], rnd: random.Random) -> tuple[list[np.ndarray], np.ndarray]:
-    """Labelled paragraphs: templates with words lost and prose around them; the corpus's own, and templates cut to shreds, as unknown."""
+        return (NAMES[k] if p[k] >= self.sure and alike >= ALIKE else UNKNOWN), float(p[k]), alike
+
+    def paragraphs(self, text: str) -> list[tuple[str, int, int]]:
+        """(family or unknown, start, end) of the text's licensed paragraphs and of those that speak of a licence but that no family explains, in order.
+
+        Of runs of lines that overlap the one most like its template counts, then the shortest.
+        """
+        lines = [(a, b, k) for k, block in enumerate(blocks(text)) for a, b in block]
+        if not lines:
+            return []
+        w = [words(text[a:b]) for a, b, _ in lines]
+        block, size = np.array([k for _, _, k in lines]), [len(x) for x in w]
+        total, n = self.sums(slots([x for line in w for x in line], np.repeat(block, size)), np.concatenate([[0], np.cumsum(size)[:-1]]))
+        total, n = np.vstack([np.zeros((1, total.shape[1])), np.cumsum(total, 0)]), np.concatenate([[0], np.cumsum(n)])
+        found = []
+        for size in (x for x in RUNS if x <= len(lines)):
+            whole = np.flatnonzero(block[size - 1 :] == block[: len(block) - size + 1])  # runs within a block, by their first line
+            if not len(whole):
+                continue
+            p = self.probabilities(total[whole + size] - total[whole], n[whole + size] - n[whole])
+            best = p.argmax(1)
+            for j in np.flatnonzero(best < len(NAMES)).tolist():
+                i, k = whole[j], best[j]
+                alike = likeness([x for line in w[i : i + size] for x in line], NAMES[k]) if p[j, k] >= self.sure else 0.0
+                found.append((alike >= ALIKE, alike, float(p[j, k]), -size, lines[i][0], lines[i + size - 1][1], NAMES[k]))
+        out: list[tuple[str, int, int]] = []
+        for ok, _, _, _, a, b, family in sorted(found, key=lambda x: (not x[0], *(-v for v in x[1:4]), x[4])):
+            if all(b <= c or d <= a for _, c, d in out):
+                out.append((family if ok else UNKNOWN, a, b))
+        return sorted(out, key=lambda x: x[1:])
+
+
+def blocks(text: str) -> list[list[tuple[int, int]]]:
+    """Spans of the lines that hold words, by blocks between lines that hold none."""
+    out: list[list] = [[]]
+    for m in _LINE.finditer(text):
+        a, b = m.span()
+        parts = [(a, b)] if b - a <= LONG else [x.span() for x in _SENTENCE.finditer(text, a, b)]
+        for a, b in parts:
+            line = text[a:b]
+            if _WORD.search(line.lower()):
+                a, b = a + len(line) - len(line.lstrip()), b - len(line) + len(line.rstrip())
+                out[-1].append((a, b))
+            elif out[-1]:
+                out.append([])
+    return [x for x in out if x]
+
+
+def _samples(negatives: list[str], families: list[int], rnd: random.Random, copies: int) -> tuple[list[list[str]], list[int]]:
+    """Labelled paragraphs: the families' templates with words lost and prose around them; the corpus's own, ordinary sentences and templates cut to shreds as unknown."""
     prose = [w for n in negatives for w in words(n)] or ["the", "of", "and"]
-    at, y = [], []
-    for k, f in enumerate(NAMES):
-        for t in TEMPLATES[f]:
+    x, y = [], []
+    for k in families:
+        for t in TEMPLATES[NAMES[k]]:
             w = words(t.format(y=str(rnd.randrange(1990, 2030)), n=" ".join(rnd.choices(prose, k=2))))
-            for c in range(COPIES):
-                kept = [x for x in w if c < 5 or rnd.random() > 0.08]
+            for c in range(copies):
+                kept = [v for v in w if c < 5 or rnd.random() > 0.08]
                 around = [rnd.choice(prose) for _ in range(rnd.choice((0, 0, 1, 3, 8)))]
                 cut = rnd.randrange(len(around) + 1)
-                at.append(slots(around[:cut] + kept + around[cut:]))
-                y.append(k)
-                shred = [x for x in w if rnd.random() < 0.25] + [rnd.choice(prose) for _ in range(len(w))]
+                shred = [v for v in w if rnd.random() < 0.25] + [rnd.choice(prose) for _ in range(len(w))]
                 rnd.shuffle(shred)
-                at.append(slots(shred))
-                y.append(len(NAMES))
-    for n in negatives:
-        at.append(slots(words(n)))
+                x += [around[:cut] + kept + around[cut:], shred]
+                y += [k, len(NAMES)]
+    for n in (*negatives, *ORDINARY * 5):
+        x.append(words(n))
         y.append(len(NAMES))
-    return at, np.array(y)
+    some = [i for i, w in enumerate(x) if w]
+    return [x[i] for i in some], [y[i] for i in some]
+
+
+def _packed(x: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([slots(w) for w in x]), np.concatenate([[0], np.cumsum([len(w) for w in x])])
+
+
+def _fit(x: list[list[str]], y: list[int], rnd: random.Random) -> Model:
+    """Multinomial logistic regression by AdaGrad over batches of the samples."""
+    classes = len(NAMES) + 1
+    model = Model(np.zeros((SLOTS + 1, classes), np.float32), np.zeros(classes))
+    seen, seen_bias = np.full((SLOTS + 1, classes), 1e-6, np.float32), np.full(classes, 1e-6)
+    packed = [slots(w) for w in x]
+    order = list(range(len(x)))
+    for _ in range(EPOCHS):
+        rnd.shuffle(order)
+        for i in range(0, len(order), BATCH):
+            part = order[i : i + BATCH]
+            at = np.concatenate([packed[j] for j in part])
+            size = np.array([len(packed[j]) for j in part])
+            total, n = model.sums(at, np.concatenate([[0], np.cumsum(size)[:-1]]))
+            g = model.probabilities(total, n)
+            g[np.arange(len(part)), [y[j] for j in part]] -= 1
+            bias = g.mean(0)
+            seen_bias += bias * bias
+            model.bias -= RATE * bias / np.sqrt(seen_bias)
+            rows, where = np.unique(at, return_inverse=True)
+            step = np.repeat((g / np.sqrt(n)[:, None] / len(part)).astype(np.float32), size * 3, 0)
+            order_ = np.argsort(where.ravel(), kind="stable")
+            grad = np.add.reduceat(step[order_], np.searchsorted(where.ravel()[order_], np.arange(len(rows))))
+            seen[rows] += grad * grad
+            model.weights[rows] -= RATE * grad / np.sqrt(seen[rows]) + DECAY * model.weights[rows]
+            model.weights[SLOTS] = 0
+    return model
 
 
 def fit(negatives: list[str]) -> Model:
-    """Multinomial logistic regression by AdaGrad over the samples; the temperature is fitted on every fifth sample, held out."""
+    """The model of all families, calibrated on families that models without them have not seen.
+
+    In each turn a third of the families is left out of the fit; their paragraphs then count as unknown, beside new ones of
+    the others and prose that was held out. The temperature is the likeliest one over all turns; the least probability is the one
+    that best tells families that were known from those that weren't.
+    """
     rnd = random.Random(SEED)
-    at, y = _samples(negatives, rnd)
-    model = Model(np.zeros((SLOTS, len(NAMES) + 1)), np.zeros(len(NAMES) + 1))
-    sums, bias = np.full_like(model.weights, 1e-6), np.full(len(NAMES) + 1, 1e-6)
-    train = [i for i in range(len(y)) if i % 5]
-    for _ in range(EPOCHS):
-        rnd.shuffle(train)
-        for i in train:
-            z = model.logits(at[i])
-            g = np.exp(z - z.max())
-            g /= g.sum()
-            g[y[i]] -= 1
-            bias += g * g
-            model.bias -= 0.1 * g / np.sqrt(bias)
-            if len(at[i]):
-                step = g / np.sqrt(len(at[i]))
-                sums[at[i]] += step * step
-                model.weights[at[i]] -= RATE * 0.1 * step / np.sqrt(sums[at[i]]) + DECAY * model.weights[at[i]]
-    held = [i for i in range(len(y)) if i % 5 == 0]
-    z = np.array([model.logits(at[i]) for i in held])
-
-    def loss(t):
-        s = z / t
-        s = s - s.max(1, keepdims=True)
-        return (np.log(np.exp(s).sum(1)) - s[np.arange(len(held)), y[held]]).mean()
-
-    model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
+    every = list(range(len(NAMES)))
+    logits, truth = [], []
+    for turn in range(TURNS):
+        out = every[turn::TURNS]
+        known = [k for k in every if k not in out]
+        model = _fit(*_samples([n for i, n in enumerate(negatives) if i % TURNS != turn], known, rnd, COPIES // 2), rnd)
+        held = [n for i, n in enumerate(negatives) if i % TURNS == turn]
+        for ks, as_unknown in ((known, False), (out, True)):
+            x, y = _samples(held, ks, rnd, 10)
+            at, starts = _packed(x)
+            total, n = model.sums(at, starts[:-1])
+            z = model.bias + total / np.sqrt(np.maximum(n, 1))[:, None]
+            z[:, out] = -1e9
+            logits.append(z)
+            truth.append(np.array([len(NAMES) if as_unknown else k for k in y]))
+    z, y = np.concatenate(logits), np.concatenate(truth)
+    loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
+    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss)
+    p, familiar = _softmax(z / temperature)[:, : len(NAMES)].max(1), y < len(NAMES)
+    sure = max((0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9), key=lambda s: (p[familiar] >= s).mean() + (p[~familiar] < s).mean())
+    model = _fit(*_samples(negatives, every, rnd, COPIES), rnd)
+    model.temperature, model.sure = temperature, sure
     return model
 
 
+def _ordinary(batches):
+    """Paragraphs of whole documents that are like no template."""
+    for pdf in batches:
+        out = []
+        for text in pdf["text"]:
+            for block in blocks(text):
+                for i in range(len(block)):
+                    for size in (1, 3):
+                        if i + size <= len(block):
+                            p = " ".join(text[block[i][0] : block[i + size - 1][1]].split())
+                            w = words(p)
+                            if len(w) <= NEGATIVE_WORDS and max(likeness(w, f) for f in NAMES) < ALIKE:
+                                out.append(p)
+        yield pd.DataFrame({"p": out}, dtype=object)
+
+
 def train(docs: DataFrame) -> Model:
-    """The model, with paragraphs without licence words from about NEGATIVE_DOCS documents (a share by hash of the text) as unknown."""
+    """The model, with paragraphs that are like no template, licence words or not, from about NEGATIVE_DOCS whole documents as unknown."""
     bounded_batches(docs.sparkSession)
     n = max(1, docs.count())
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1, NEGATIVE_DOCS / n))
-    first = docs.where("text IS NOT NULL").where(share).select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("p"))
-    some = first.where(F.length("p").between(10, 400)).groupBy("p").count().where(~F.col("p").rlike("(?i)" + _CUES.pattern)).select("p")
-    return fit(sorted(r["p"] for r in some.collect()))
-
-
-_SPLIT = re.compile(r"[^\n]+")
-
-
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Spans of the lines that have a cue; the rest of the text can't hold a licence."""
-    return [m.span() for m in _SPLIT.finditer(text) if _CUES.search(text, *m.span())] if _CUES.search(text) else []
+    some = docs.where("text IS NOT NULL").where(share).select("text").mapInPandas(_ordinary, "p string").distinct()
+    return fit(sorted(r["p"] for r in some.orderBy(F.xxhash64("p"), "p").limit(NEGATIVES).collect()))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -211,24 +358,18 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     spans: family:start:end (code points, end exclusive) of each licensed paragraph, in order, with
     unknown for those that speak of a licence but that no family explains. Null or empty texts have none;
-    repeated rows agree; other columns are ignored. The model is trained on docs unless it is given.
+    an empty table gives no rows; null or equal doc_ids and repeated rows don't matter, rows are judged one by one by their
+    texts; very long texts and lines are read whole, lines of more than LONG characters by sentences. Families of equal probability go by
+    name. Other columns are ignored, whatever their names. The model is trained on docs unless it is given.
     """
     model = train(docs) if model is None else model
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        seen: dict[str, str] = {}  # licence lines repeat
         for pdf in batches:
             out = []
             for i, text in zip(pdf["doc_id"].astype("Int64").array, pdf["text"]):
-                found = []
-                for a, b in paragraphs(text) if isinstance(text, str) else ():
-                    p = text[a:b]
-                    if p not in seen:
-                        if len(seen) > 10_000:
-                            seen.clear()
-                        seen[p] = sent.value.judge(p)[0]
-                    found.append((seen[p], a, b))
+                found = sent.value.paragraphs(text) if isinstance(text, str) else []
                 families = sorted({f for f, _, _ in found} - {UNKNOWN})
                 out.append((i, ",".join(families), len(families), sum(f == UNKNOWN for f, _, _ in found), ",".join(f"{f}:{a}:{b}" for f, a, b in found)))
             yield pd.DataFrame(out, columns=["doc_id", "licenses", "n_licenses", "n_unknown", "spans"]).astype({"doc_id": "Int64"})
