@@ -13,9 +13,13 @@ from .common import bounded_batches, code_points, mix, slices
 
 ORDER = 4
 _BITS = np.uint64(16)
-#: A document is rejected if its cross-entropy exceeds its language's by this many standard errors; SPREAD is
-#: the share of the language's cross-entropy that documents of the language may differ by besides chance.
-ERRORS, SPREAD = 12.0, 0.1
+#: What a text's excess over its language's cross-entropy is measured by: chance, and SPREAD of that cross-entropy, by
+#: which documents of the language differ besides.
+SPREAD = 0.1
+#: One in FOLDS of the training texts, by hash, calibrates the rejection: against models of the others, a language's limit
+#: lies REACH times as far above the median excess of its texts as their QUANTILE does. For a bell curve that is 9
+#: standard deviations, so rejected texts are no tail of the language. Languages with fewer than LEAST texts there take FALLBACK.
+FOLDS, QUANTILE, REACH, LEAST, FALLBACK = 4, 0.99, 4.0, 100, 12.0
 #: Symbols that a document can count for in its score: characters of a text are not independent.
 EVIDENCE = 40
 #: Code points that are counted or scored at once.
@@ -120,11 +124,12 @@ class Model:
             p = np.where(total[to] > 0, np.maximum(c - d, 0) / np.maximum(total[to], 1), 0.0) + weight[to] * below
             table, contexts = HashArray(codes_k), HashArray(context)
             self.tables.append((table, np.log(p)[table.order].astype(np.float32), contexts, np.log(weight)[contexts.order].astype(np.float32)))
-        # Calibration over everything that was counted: each language's own cross-entropy and its variance per symbol.
+        # Over everything that was counted: each language's own cross-entropy and its variance per symbol.
         top = self._rows(ORDER, codes) if len(codes) else np.zeros((0, size))
         sums = np.maximum(counts.sum(0), 1)
         self.entropy = -(counts * top).sum(0) / sums
         self.variance = (counts * (top + self.entropy) ** 2).sum(0) / sums
+        self.limits = np.full(size, FALLBACK)
 
     def _rows(self, k: int, codes: np.ndarray) -> np.ndarray:
         """log p of k-grams in every language; a gram that no language has backs off."""
@@ -161,20 +166,21 @@ class Model:
         return out, size
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
-        """lang_pred, score, entropy, rejected of each text."""
+        """lang_pred, score, entropy, excess, rejected of each text."""
         h, n = self.entropies(texts)
         known = (n > 0) & bool(self.langs)
         best = h.argmin(1)
         gap = h - h.min(1, keepdims=True)
         score = 1 / np.exp(-gap * np.minimum(n, EVIDENCE)[:, None]).sum(1)
         e, v = (self.entropy[best], self.variance[best]) if self.langs else (np.zeros(len(texts)), np.zeros(len(texts)))
-        most = e + ERRORS * np.sqrt((SPREAD * e) ** 2 + v / np.maximum(n, 1))
+        excess = (h.min(1) - e) / np.sqrt(np.maximum((SPREAD * e) ** 2 + v / np.maximum(n, 1), 1e-12))
         names = np.array([*self.langs, "und"], object)
         return pd.DataFrame({
             "lang_pred": names[np.where(known, best, len(self.langs))],
             "score": np.where(known, score, 0.0),
             "entropy": np.where(known, h.min(1), np.nan),
-            "rejected": ~known | (h.min(1) > most),
+            "excess": np.where(known, excess, np.nan),
+            "rejected": ~known | (excess > self.limits[best]),
         })
 
 
@@ -185,36 +191,57 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count(batches):
-    """(lang, code, n) of a partition's ORDER-grams, summed before they are sent on."""
-    held: dict[str, list] = {}
+    """(lang, code, n, aside) of a partition's ORDER-grams, summed before they are sent on; aside: those of calibrating texts."""
+    held: dict[tuple, list] = {}
     for pdf in batches:
-        for lang, texts in pdf.groupby("lang")["text"]:
+        for key, texts in pdf.groupby(["lang", "aside"])["text"]:
             texts = texts.tolist()
-            parts = held.setdefault(lang, [])
+            parts = held.setdefault(key, [])
             for a, b in slices(texts, AT_ONCE):
                 codes, n = np.unique(grams(texts[a:b])[0], return_counts=True)
                 parts.append((codes, n))
             if sum(len(c) for c, _ in parts) > 1_000_000:
                 parts[:] = [_merge(parts)]
-    for lang, parts in held.items():
+    for (lang, aside), parts in held.items():
         codes, n = _merge(parts)
-        yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": n})
+        yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": n, "aside": n if aside else 0})
 
 
 def train(docs: DataFrame) -> Model:
     """The models of the languages in docs (text, lang), counted over all of its rows; null text or lang is left out.
 
     Tasks send one row per language and n-gram that they have seen; what reaches the driver are the
-    distinct ORDER-grams of each language: their number is bounded by the languages' alphabets, not by
-    the corpus (four alphabets of some 30 letters: about 0.1 million rows, 16 bytes each).
+    distinct ORDER-grams of each language, 24 bytes each: their number is bounded by the languages' alphabets and grows with what
+    new grams the corpus has, none are cut off. Rejection is calibrated on texts that the models which judge them have not
+    counted (see FOLDS); the models that are returned have counted all.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    counts = rows.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 1).alias("aside"))
+    sums = rows.mapInPandas(_count, "lang string, code long, n long, aside long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside"))
+    counts = sums.toArrow()
     lang = counts["lang"].to_pandas()
     langs = sorted(lang.unique())
     place = lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    return Model(langs, place, counts["code"].to_numpy().view(np.uint64), counts["n"].to_numpy())
+    code, n, aside = counts["code"].to_numpy().view(np.uint64), counts["n"].to_numpy(), counts["aside"].to_numpy()
+    model = Model(langs, place, code, n)
+    left = n > aside
+    if langs and left.any():
+        _calibrate(model, Model(langs, place[left], code[left], (n - aside)[left]), rows.where("aside").select("text"))
+    return model
+
+
+def _calibrate(model: Model, other: Model, texts: DataFrame) -> None:
+    """Sets the model's limits by how far the texts, which the other model has not counted, exceed its languages' cross-entropies."""
+    sent = texts.sparkSession.sparkContext.broadcast(other)
+
+    def run(batches):
+        for pdf in batches:
+            yield sent.value.predict(pdf["text"].tolist())[["lang_pred", "excess"]].dropna()
+
+    judged = texts.mapInPandas(run, "lang_pred string, excess double").groupBy("lang_pred")
+    for r in judged.agg(F.percentile_approx("excess", [0.5, QUANTILE], 10_000).alias("q"), F.count("*").alias("n")).collect():
+        if r.n >= LEAST:
+            model.limits[model.langs.index(r.lang_pred)] = r.q[0] + REACH * (r.q[1] - r.q[0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -228,7 +255,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     lang_pred is the language whose model has the lowest cross-entropy per symbol (the first by name of
     equals), und for null texts and texts without a letter; score is its share of the likelihood over at
     most EVIDENCE symbols, 0 for und. rejected: und, or a cross-entropy that the language's own does not
-    explain (see ERRORS). Repeated rows agree; nothing but the text enters a prediction. Without a model
+    explain (see FOLDS). Repeated rows agree; very long texts are scored whole, in parts; an empty table gives no rows; nothing but the text enters a prediction. Without a model
     it learns from the rows of docs with a lang that are not held out; without such rows all are und.
     """
     model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))) if model is None else model
@@ -236,7 +263,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = sent.value.predict(pdf["text"].fillna("").tolist())
+            out = sent.value.predict(pdf["text"].fillna("").tolist()).drop(columns="excess")
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             out.insert(1, "held_out", pdf["held_out"].array)
             yield out
