@@ -1,5 +1,6 @@
 """Extraction, licences, quality, language, segmentation and the pipeline: definitions, held-out accuracy, odd rows."""
 
+import json
 import random
 import re
 
@@ -77,6 +78,55 @@ def test_op4_families(spark, docs, odd):
         assert model.judge(line)[0] == licenses.UNKNOWN
     assert model.judge("// Redistribution and use in source and binary forms, with or without changes, are permitted provided that")[0] == "bsd"
     assert licenses.scan(odd, model).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
+    assert {r.spans for r in licenses.scan(odd.where("doc_id < 4 OR doc_id IS NULL"), model).collect()} == {""}
+    # Wrapped notices behind comment marks, between other lines, in one very long line; no cue word gates them.
+    for family, lines in WRAPPED.items():
+        for text in ("\n".join(f" * {x}" for x in lines), "int x;\n\n// " + "\n// ".join(lines) + "\n\nreturn x;", "and the rest of it stands here. " * 400 + " ".join(lines)):
+            got = model.paragraphs(text)
+            assert {f for f, _, _ in got} - {licenses.UNKNOWN} == {family}, (family, got)
+    slow = [(f, a, b) for t in (r.text for r in docs.limit(60).collect()) for f, a, b in brute_licenses(model, t)]
+    assert slow == [x for t in (r.text for r in docs.limit(60).collect()) for x in model.paragraphs(t)]
+
+
+WRAPPED = {
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "lgpl": ("This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public", "License as published by the Free Software Foundation; either", "version 2.1 of the License, or (at your option) any later version."),
+    "gpl": ("This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."),
+    "apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License."),
+    "bsd": ("Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"),
+    "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights"),
+}
+
+
+def brute_licenses(model, text):
+    """paragraphs() by a loop over all runs of lines, each scored by its own sum of weights."""
+    found = []
+    for block in licenses.blocks(text):
+        w = [licenses.words(text[a:b]) for a, b in block]
+        for size in licenses.RUNS:
+            for i in range(len(block) - size + 1):
+                z, n = np.array(model.bias), 0
+                flat = [(x, j) for j, line in enumerate(w) for x in line]
+                at = licenses.slots([x for x, _ in flat])
+                for (_, j), row in zip(flat, at):
+                    if i <= j < i + size:
+                        for slot in row:
+                            if slot < licenses.SLOTS:
+                                n += 1
+                z = model.bias + sum((model.weights[s].astype(float) for (_, j), row in zip(flat, at) if i <= j < i + size for s in row), np.zeros(len(model.bias))) / np.sqrt(max(n, 1))
+                p = np.exp((z - z.max()) / model.temperature)
+                p /= p.sum()
+                k = int(p.argmax())
+                if k < len(licenses.NAMES):
+                    family = licenses.NAMES[k]
+                    alike = licenses.likeness([x for line in w[i : i + size] for x in line], family) if p[k] >= model.sure else 0.0
+                    found.append((alike >= licenses.ALIKE, alike, p[k], -size, block[i][0], block[i + size - 1][1], family))
+    out = []
+    while found:
+        ok, _, _, _, a, b, family = max(found, key=lambda x: (*x[:4], -x[4]))
+        out.append((family if ok else licenses.UNKNOWN, a, b))
+        found = [x for x in found if x[5] <= a or b <= x[4]]
+    return sorted(out, key=lambda x: x[1:])
 
 
 def test_op5_held_out(spark, docs, odd):
@@ -107,6 +157,47 @@ def test_op9_probabilities():
         assert np.allclose(p.sum(0), 1, atol=1e-5)  # one symbol stands for all unseen ones
 
 
+def test_op9_by_definition():
+    """Interpolated Kneser-Ney by its formulas, with dictionaries over strings."""
+    from collections import Counter, defaultdict
+
+    texts = {"a": ["abab abba cab", "bab  ac"], "b": ["ccab, cbc", "cab cab cc"]}
+    codes, lang = [], []
+    for i, ts in enumerate(texts.values()):
+        for t in ts:
+            c = langid.grams([t])[0]
+            codes.append(c)
+            lang += [i] * len(c)
+    m = langid.Model(list(texts), np.array(lang), np.concatenate(codes), np.ones(len(lang), np.int64))
+    vocabulary = len({c for ts in texts.values() for t in ts for c in re.sub("[^a-z]+", " ", t)}) + 1
+    for i, ts in enumerate(texts.values()):
+        level = {4: Counter()}
+        for t in ts:
+            s = "   " + re.sub("[^a-z]+", " ", t)
+            level[4].update(s[k - 3 : k + 1] for k in range(3, len(s)))
+        for k in (3, 2, 1):
+            level[k] = Counter(g[1:] for g in level[k + 1])
+
+        def p(k, g):
+            if k == 0:
+                return 1 / vocabulary
+            c, context = level[k], defaultdict(list)
+            for x, n in c.items():
+                context[x[:-1]].append(n)
+            once, twice = (sum(n == v for n in c.values()) for v in (1, 2))
+            d = min(max(once / (once + 2 * twice) if once + twice else 0.5, 0.05), 0.95)
+            here = context.get(g[:-1])
+            if not here:
+                return p(k - 1, g[1:])
+            return max(c.get(g, 0) - d, 0) / sum(here) + d * len(here) / sum(here) * p(k - 1, g[1:])
+
+        for g in ("abab", "   a", " cab", "ccab", "bbbb", "b ac", "aacc"):
+            code = 0
+            for ch in g:
+                code = code << 16 | (ord(ch) if ch != " " else 0)
+            assert np.isclose(np.exp(m._rows(4, np.array([code], np.uint64))[0, i]), p(4, g), rtol=1e-4), (i, g)
+
+
 def test_op9_grams():
     codes, ends = langid.grams(["Ab, c", "", "123", "é"])
     a, b, c, e = (ord(x) for x in "abcé")
@@ -171,12 +262,29 @@ def test_op10_chunks(docs):
                 start = max(0, at - v.longest)
                 chunks.append(type("R", (), dict(row=0, doc_id=0, chunk=c, last=at + size >= len(s), behind=at - start, n=min(size, len(s) - at), text=s[start : at + size + v.longest]))())
             run = lambda f: [f(v, r, pieces.normalised(r.text)) for r in chunks]  # noqa: E731, B023
-            for r, e in zip(chunks, pieces._forward(pd.DataFrame(run(pieces._transfer), columns=["row", "chunk", "matrix"]))["entry"]):
+            frame = lambda rows: pd.DataFrame(rows, columns=["row", "at", "matrix"])
+            for r, e in zip(chunks, pieces._spread(frame(run(pieces._transfer)).assign(come=json.dumps([(0, pieces.START)])))["come"]):
                 r.entry = e
-            ends = pieces._backward(pd.DataFrame(run(pieces._exits), columns=["row", "chunk", "exits"])).sort_values("chunk")
-            for r, come, leave in zip(chunks, ends["come"], ends["leave"]):
-                r.come, r.leave = come, leave
+            exits = frame(run(pieces._exits))
+            back = pieces._spread(exits.assign(at=-exits["at"], come=json.dumps([pieces.END])))
+            for r, leave in zip(reversed(chunks), back["come"]):
+                r.leave = leave
             assert [i for x in run(pieces._trace) for i in x[3]] == pieces.encode(t, memory).tolist()
+            matrices = [pieces._matrix(x[2]) for x in run(pieces._transfer)]
+            if len(matrices) > 2:  # in any grouping
+                k = rnd.randrange(1, len(matrices))
+                assert pieces.product([pieces.product(matrices[:k]), pieces.product(matrices[k:])]) == pieces.product(matrices)
+
+
+def test_op10_products_of_products(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "FAN", 3)
+    monkeypatch.setattr(pieces, "CHUNK", 256)
+    monkeypatch.setattr(pieces, "GIANT", 300)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abetinhrs  é日=-\nы0x") for _ in range(n)) for n in (10, 300, 301, 800, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    memory = pieces.Memory(pieces.Vocabulary())
+    assert {r.doc_id: (r.ids, r.round_trip) for r in pieces.encode_documents(df).collect()} == {i: (pieces.encode(t, memory).tolist(), True) for i, t in enumerate(texts)}
 
 
 def test_op10_giants(spark):

@@ -5,8 +5,10 @@ of their own text, and each text has exactly one such sequence. So encoding is a
 where it ends, a step to the next piece weighs 0 if the two fit and minus infinity if they don't, and the best path to
 the end of the text is the encoding. A chunk's transfer matrix over (max, +) says from which states at its start which
 states at its end are reached with weight 0; all else is minus infinity, so a matrix is kept as the list of its zeros.
-Matrices combine associatively: a giant text's chunks are worked on apart, a scan over their matrices gives the states
-that the chunks begin with, and each chunk then finds its own part of the path and backtraces alone.
+Matrices combine associatively: a giant text's chunks are worked on apart; the matrices of FAN chunks in a row are multiplied in
+one task, and so are those of FAN products, until one task holds what is left; on the way back each product's first states
+give those of its FAN parts. So no task ever holds more than FAN matrices of a text, however long it is. Each chunk then
+finds its own part of the path and backtraces alone.
 """
 
 from __future__ import annotations
@@ -30,10 +32,14 @@ SPACE = "▁"
 OWN = "\udc00"
 #: The piece of a character that no piece has (its bytes take its place), and what stands before a text.
 UNKNOWN, START = -1, -2
+#: The state behind a text's end.
+END = (0, -3)
 #: Pairs of pieces whose fit a worker remembers.
 PAIRS = 2_000_000
 #: Texts with more code points than GIANT are encoded by chunks of CHUNK on all executors.
 GIANT, CHUNK = 1 << 16, 1 << 14
+#: Matrices that one task multiplies.
+FAN = 32
 #: Words whose pieces a Python worker remembers, and as many again that it is about to forget.
 REMEMBERED = 150_000
 
@@ -256,14 +262,18 @@ def _one_task(model):
     return run
 
 
-def _split(batches):
+def _split(size: int):
     """Giant texts to chunks: (row, doc_id, chunk, last, behind, n, text): n characters with those that a piece can reach on either side."""
-    for pdf in batches:
-        for row, doc_id, reach, text in zip(pdf["row"], pdf["doc_id"], pdf["reach"], pdf["text"]):
-            s = " " + text
-            for c, at in enumerate(range(0, len(s), CHUNK)):
-                start = max(0, at - reach)
-                yield pd.DataFrame({"row": [row], "doc_id": pd.array([doc_id], "Int64"), "chunk": [c], "last": [at + CHUNK >= len(s)], "behind": [at - start], "n": [min(CHUNK, len(s) - at)], "text": [s[start : at + CHUNK + reach]]})
+
+    def run(batches):
+        for pdf in batches:
+            for row, doc_id, reach, text in zip(pdf["row"], pdf["doc_id"], pdf["reach"], pdf["text"]):
+                s = " " + text
+                for c, at in enumerate(range(0, len(s), size)):
+                    start = max(0, at - reach)
+                    yield pd.DataFrame({"row": [row], "doc_id": pd.array([doc_id], "Int64"), "chunk": [c], "last": [at + size >= len(s)], "behind": [at - start], "n": [min(size, len(s) - at)], "text": [s[start : at + size + reach]]})
+
+    return run
 
 
 def _by_chunk(model, work, columns):
@@ -279,14 +289,45 @@ def _transfer(v, r, text):
     return r.row, r.chunk, json.dumps(v.transfer(text, r.n, r.behind))
 
 
-def _forward(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Scans a text's matrices: the states that are reached where each chunk begins."""
-    pdf = pdf.sort_values("chunk")
-    out, now = [], {(0, START)}
+def _matrix(text: str) -> dict:
+    return {tuple(a): [tuple(b) for b in ends] for a, ends in json.loads(text)}
+
+
+def product(matrices: list[dict]) -> dict:
+    """The max-plus product of matrices in a row, each the list of its zeros: state before to the states after."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = {a: reached for a, ends in out.items() if (reached := sorted({c for b in ends for c in m.get(b, ())}))}
+    return out
+
+
+def _products(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The product of the matrices of one block."""
+    pdf = pdf.sort_values("at")
+    m = product([_matrix(x) for x in pdf["matrix"]])
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "at": pdf["block"].iloc[:1], "matrix": [json.dumps([[a, ends] for a, ends in m.items()])]})
+
+
+def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The states that are reached where each part of a block begins, from those where the block begins."""
+    pdf = pdf.sort_values("at")
+    out, now = [], {tuple(x) for x in json.loads(pdf["come"].iloc[0])}
     for m in pdf["matrix"]:
         out.append(json.dumps(sorted(now)))
-        now = {tuple(b) for a, ends in json.loads(m) if tuple(a) in now for b in ends}
-    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "entry": out})
+        m = _matrix(m)
+        now = {b for a in now for b in m.get(a, ())}
+    return pd.DataFrame({"row": pdf["row"], "at": pdf["at"], "come": out})
+
+
+def prefix_states(matrices: DataFrame, first: str) -> DataFrame:
+    """(row, at, come): for each of a row's matrices (row, at from 0, matrix) the states that those before it reach from first."""
+    blocks = matrices.withColumn("block", F.expr(f"at div {FAN}"))
+    if (blocks.agg(F.max("at")).first()[0] or 0) < FAN:
+        come = blocks.withColumn("come", F.lit(first))
+    else:
+        products = keep(blocks.groupBy("row", "block").applyInPandas(_products, "row long, at long, matrix string"))
+        come = blocks.join(prefix_states(products, first).withColumnRenamed("at", "block"), ["row", "block"])
+    return keep(come.groupBy("row", "block").applyInPandas(_spread, "row long, at long, come string"))
 
 
 def _ways(v, r, text):
@@ -296,29 +337,27 @@ def _ways(v, r, text):
 
 
 def _exits(v, r, text):
-    """The state that the chunk begins with, by the one it ends with."""
-    stop = r.behind + r.n
-    found = [[end, a] for a, last, _ in _ways(v, r, text) for end in ([[0, last[stop]]] if r.last and last[stop] is not None else v._ends(last, stop))]
-    return r.row, r.chunk, json.dumps(found)
-
+    """The state that the chunk begins with, by the one it ends with: a matrix that is read from the text's end to its beginning.
 
-def _backward(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains a text's maps from end to beginning, last chunk first: the states that each chunk begins and ends with."""
-    pdf = pdf.sort_values("chunk", ascending=False)
-    come, leave, state = [], [], None
-    for m in pdf["exits"]:
-        ways = {tuple(end): a for end, a in json.loads(m)}
-        state = next((e for e in sorted(ways) if e[0] == 0), None) if state is None else state
-        leave.append(json.dumps(state))
-        state = tuple(ways[state])
-        come.append(json.dumps(state))
-    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "come": come, "leave": leave})
+    The last chunk's takes END to where the path of the text ends.
+    """
+    stop, found = r.behind + r.n, []
+    for a, last, _ in _ways(v, r, text):
+        if r.last and last[stop] is not None:
+            found.append([END, [a]])
+        elif not r.last:
+            found += [[e, [a]] for e in v._ends(last, stop)]
+    return r.row, r.chunk, json.dumps(found)
 
 
 def _trace(v, r, text):
-    (a, piece), (b, _) = json.loads(r.come), json.loads(r.leave)
-    stop = r.behind + r.n
-    return r.row, r.doc_id, r.chunk, v.spell(text, *v.walk(text, stop, r.behind + a, piece), stop + b)
+    """The ids of a chunk's part of the path, which ends where the states behind it (leave) begin."""
+    stop, leave = r.behind + r.n, tuple(json.loads(r.leave)[0])
+    for a, last, back in _ways(v, r, text):
+        b = 0 if leave == END else leave[0]
+        if stop + b < len(last) and last[stop + b] is not None and (leave == END or last[stop + b] == leave[1]):
+            return r.row, r.doc_id, r.chunk, v.spell(text, last, back, stop + b)
+    raise ValueError("no way through a chunk")
 
 
 def _joined(model):
@@ -340,15 +379,17 @@ def encode_giants(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     v = Vocabulary(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = keep(rows)
-    chunks = rows.withColumn("reach", F.lit(v.longest)).mapInPandas(_split, "row long, doc_id long, chunk long, last boolean, behind int, n int, text string")
+    chunks = rows.withColumn("reach", F.lit(v.longest)).mapInPandas(_split(CHUNK), "row long, doc_id long, chunk long, last boolean, behind int, n int, text string")
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = keep(chunks.repartition(n, "row", "chunk"))
     at = ["row", "chunk"]
-    matrices = chunks.mapInPandas(_by_chunk(model, _transfer, [*at, "matrix"]), "row long, chunk long, matrix string")
-    entries = keep(matrices.groupBy("row").applyInPandas(_forward, "row long, chunk long, entry string"))
+    matrices = keep(chunks.mapInPandas(_by_chunk(model, _transfer, ["row", "at", "matrix"]), "row long, at long, matrix string"))
+    entries = prefix_states(matrices, json.dumps([(0, START)])).select("row", F.col("at").alias("chunk"), F.col("come").alias("entry"))
     chunks = chunks.join(entries, at)
-    exits = chunks.mapInPandas(_by_chunk(model, _exits, [*at, "exits"]), "row long, chunk long, exits string")
-    leaves = exits.groupBy("row").applyInPandas(_backward, "row long, chunk long, come string, leave string")
+    exits = keep(chunks.mapInPandas(_by_chunk(model, _exits, ["row", "chunk", "matrix"]), "row long, chunk long, matrix string"))
+    most = exits.groupBy("row").agg(F.max("chunk").alias("most"))
+    exits = keep(exits.join(most, "row").select("row", (F.col("most") - F.col("chunk")).alias("at"), "most", "matrix"))
+    leaves = prefix_states(exits.select("row", "at", "matrix"), json.dumps([END])).join(most, "row").select("row", (F.col("most") - F.col("at")).alias("chunk"), F.col("come").alias("leave"))
     parts = chunks.join(leaves, at).mapInPandas(_by_chunk(model, _trace, ["row", "doc_id", "chunk", "ids"]), "row long, doc_id long, chunk long, ids array<int>")
     whole = parts.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]).alias("parts"))
     return whole.join(rows, "row").select("doc_id", "text", "parts").mapInPandas(_joined(model), _RESULT)
