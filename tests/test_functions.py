@@ -45,7 +45,9 @@ def test_predicates(spark):
     assert tuple(ok(row(0, stats(s1=5)))) == (True, True) and tuple(ok(row(0, stats(s1=5), 32))) == (True, False) and tuple(ok(row(0, stats()))) == (True, False)
     assert tuple(ok(row(1, stats(s1=5)))) == tuple(ok(row(0, stats(s17=1)))) == tuple(ok(row(0, stats(n=17)))) == (False, False)
     scans = spark.createDataFrame([(0, 0, ["q2dm1"]), (0, 0, ["q2dm8"]), (0, 1, ["q2dm8"]), (0, 0, []), (None, 0, ["q2dm8"])], "code int, quality int, maps array<string>")
-    assert [r.skip for r in filters.can_skip(scans, ["q2dm1"], "code", "quality", "maps").collect()] == [False, True, False, False, False]
+    scans = scans.crossJoin(spark.createDataFrame([(True,), (False,)], "complete boolean")).orderBy(F.desc("complete"), F.col("code").isNull(), "quality", F.desc(F.size("maps")), "maps")
+    skip = filters.can_skip(scans, ["q2dm1"], "code", "quality", "maps", "complete").where("skip").collect()
+    assert [(r.code, r.quality, r.maps, r.complete) for r in skip] == [(0, 0, ["q2dm8"], True)]  # a scan that stopped early is never skipped
     assert filters.wanted_maps(spark.createDataFrame([("a",), ("b",)], "map string"), ["b"]).count() == 1
 
 

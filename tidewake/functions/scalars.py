@@ -149,5 +149,11 @@ def push_direction(pitch: Column, yaw: Column, roll: Column) -> list[Column]:
     return [special(0.0, 0.0, F.cos(p) * F.cos(y)), special(0.0, 0.0, F.cos(p) * F.sin(y)), special(1.0, -1.0, -F.sin(p))]
 
 
+def vector(text: Column | str, limit: float = 65536.0) -> Column:
+    """C4: a text of three finite numbers below limit in size, apart by white space, as an array; null for any other text."""
+    parts = F.transform(F.split(F.trim(F.regexp_replace(col(text), r"\s+", " ")), " "), lambda x: x.try_cast("double"))
+    return F.when(F.coalesce(finite(parts) & F.forall(parts, lambda x: F.abs(x) < limit), F.lit(False)), parts)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

@@ -29,11 +29,12 @@ def wanted_maps(segments: DataFrame, wanted: Sequence[str], name: str = "map") -
     return segments.where(F.col(name).isin(list(wanted)))
 
 
-def can_skip(scan: DataFrame, wanted: Sequence[str], code: str, quality: str, maps: str) -> DataFrame:
-    """scan with skip: a clean scan whose known maps have none of the wanted ones."""
+def can_skip(scan: DataFrame, wanted: Sequence[str], code: str, quality: str, maps: str, complete: str) -> DataFrame:
+    """scan with skip: a clean scan, read to its end, whose known maps have none of the wanted ones. A scan that stopped
+    early may have missed a change of map, so it is never skipped."""
     known = F.size(maps) > 0
     apart = ~F.arrays_overlap(F.col(maps), F.array(*map(F.lit, wanted)))
-    return scan.withColumn("skip", F.coalesce((F.col(code) == 0) & (F.col(quality) == 0) & known & apart, F.lit(False)))
+    return scan.withColumn("skip", F.coalesce((F.col(code) == 0) & (F.col(quality) == 0) & F.col(complete) & known & apart, F.lit(False)))
 
 
 def first_of_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, width: int, valid: Column) -> DataFrame:

@@ -59,7 +59,7 @@ def event_labels(now: Column, future: Column, loss: int = 20, low: int = 2950, h
 def next_pickup(future: Column, time: Column, none: str = "none", horizon: int = 2950) -> Column:
     """L4: the first picked item; none only if the future is complete and every row of it could have shown one; else null."""
     picked = F.get(F.filter(future, lambda r: r["pickup"].isNotNull()), F.lit(0))
-    last = F.element_at(future, -1)
+    last = F.try_element_at(future, F.lit(-1))
     complete = (last["health"] <= 0) | (last["time_ms"] - time >= horizon)
     seen = F.forall(future, lambda r: F.coalesce(r["pickup_known"], F.lit(False)) | (r["health"] <= 0))
     return F.when(picked.isNotNull(), picked["pickup"]).when((F.size(future) > 0) & complete & seen, F.lit(none))

@@ -64,10 +64,11 @@ def conflicts(old: DataFrame, new: DataFrame, identity: str, payload: Sequence[s
 
 
 def replay_merge(old: DataFrame, new: DataFrame, identity: str, by_map: str, cap: int, split: str | None = None, policy: str = "all", least: int = 0) -> DataFrame:
-    """Old and new rows, the new one of equal identities, then the cap // maps rows of each map (and split) with the
+    """Old and new rows, the new one of equal identities (of several new ones, or several old ones, the one whose JSON has
+    the least sha256; conflicts() names them), then the cap // maps rows of each map (and split) with the
     least sha256. policy train caps that split only and keeps the others whole; least bounds the share from below."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    newest = W.partitionBy(identity).orderBy(F.desc("__new"))
+    newest = W.partitionBy(identity).orderBy(F.desc("__new"), F.sha2(F.to_json(F.struct(*old.columns)), 256))
     both = both.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn", "__new")
     scope = [split] if split else []
     maps = both.groupBy(*scope).agg(F.countDistinct(by_map).alias("__maps")) if scope else both.agg(F.countDistinct(by_map).alias("__maps"))

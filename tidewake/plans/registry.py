@@ -1,6 +1,6 @@
 """Queries and their SQL oracles, by name."""
 
-from . import streams, tables, trajectory
+from . import mechanisms, streams, tables, trajectory
 
-QUERIES: dict = {**tables.QUERIES, **trajectory.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict = {**tables.ORACLE_SQL, **trajectory.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES: dict = {**tables.QUERIES, **trajectory.QUERIES, **mechanisms.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict = {**tables.ORACLE_SQL, **trajectory.ORACLE_SQL, **mechanisms.ORACLE_SQL, **streams.ORACLE_SQL}

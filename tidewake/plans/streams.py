@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import records
 from ..streaming import lives
 from .tables import HOURS6, ms
@@ -27,8 +27,7 @@ def query(sql: str):
 
 def _finished(spark, df):
     """The rows of a stream that has read everything there is, by way of the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewake-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = lives.ingest(df, f"{path}/out", f"{path}/checkpoint")
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")

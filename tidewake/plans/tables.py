@@ -97,10 +97,10 @@ def composite_counters(spark, sf):
     return A.counters(read(spark, sf, "events"), F.lit("event"), "event_type", F.when(C("value") > 50, "high").otherwise("low"))
 
 
-@query("SELECT role, text, COUNT(*) AS n FROM (SELECT role, split_part(text, ' ', 1) AS text FROM conversations) WHERE length(text) BETWEEN 1 AND 160 AND NOT regexp_matches(text, '[\\x00-\\x1F\\x7F]') GROUP BY 1, 2 ORDER BY n DESC, role, text LIMIT 200")
+@query("SELECT role, text, COUNT(*) AS n FROM conversations WHERE length(text) BETWEEN 1 AND 160 AND NOT regexp_matches(text, '[\\x00-\\x1F\\x7F]') GROUP BY 1, 2 ORDER BY n DESC, role, text LIMIT 200")
 def top_phrases(spark, sf):
-    """A top-k report."""
-    return A.top_phrases(read(spark, sf, "conversations").select("role", F.split_part("text", F.lit(" "), F.lit(1)).alias("text")), ["role"], "text")
+    """A top-k report of whole turns."""
+    return A.top_phrases(read(spark, sf, "conversations").select("role", "text"), ["role"], "text")
 
 
 @query("SELECT l_suppkey, l_returnflag, COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2")

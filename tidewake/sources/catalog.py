@@ -13,15 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,79}")
 POINTER = "_current.json"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder of spark.checkpoint.dir (a local one only where that is unset)."""
+    """df cut from its lineage in the shared folder (see shared_folder)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewake-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

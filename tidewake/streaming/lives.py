@@ -31,11 +31,11 @@ def sessions(stream: DataFrame, key: str, ts: str, gap: str = "6 hours", late: s
     return by.agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _life(gap_ms: int):
+def _life(gap_ms: int, arrival: str):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         life, first, last, n, seq = state.get if state.exists else (0, 0, 0, 0, -1)
         out = []
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(arrival, kind="stable")
         for s, t, health in zip(rows["seq"], rows["time_ms"], rows["health"]):
             if s <= seq:
                 out.append((key[0], life, t, t, 1, "late"))
@@ -58,12 +58,15 @@ def _life(gap_ms: int):
     return run
 
 
-def lives(stream: DataFrame, gap_ms: int = 250) -> DataFrame:
+def lives(stream: DataFrame, gap_ms: int = 250, arrival: str = "seq") -> DataFrame:
     """A row per life that has ended (rec, life, first_ms, last_ms, n, ended: death or gap), from rows with rec, seq,
     time_ms and health. Open lives wait in the state. A row whose seq doesn't increase becomes a row "late" of its own:
-    it is rejected, not silently dropped. State is five numbers a key."""
-    rows = stream.select("rec", "seq", "time_ms", "health")
-    return rows.groupBy("rec").applyInPandasWithState(_life(gap_ms), LIFE, STATE, "append", "NoTimeout")
+    it is rejected, not silently dropped. Rows of a micro-batch are taken in the order of arrival, a column that says how they
+    came (an offset): then what is late doesn't depend on how rows fall into batches. Without one (seq) their order is restored
+    within a batch, and only rows of later batches can be late. A task holds a key's rows of one micro-batch, which
+    files_per_batch bounds; state is five numbers a key."""
+    rows = stream.select("rec", "seq", "time_ms", "health", *([arrival] if arrival != "seq" else []))
+    return rows.groupBy("rec").applyInPandasWithState(_life(gap_ms, arrival), LIFE, STATE, "append", "NoTimeout")
 
 
 class Progress(StreamingQueryListener):
