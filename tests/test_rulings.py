@@ -8,7 +8,7 @@ from tidewake.functions import scalars
 from tidewake.functions.text import nickname_of
 from tidewake.operators import geometry, rulings, sampling
 from tidewake.session import shared_folder
-from tidewake.sources import maps
+from tidewake.sources import demos, maps
 from tidewake.streaming import lives
 
 
@@ -77,3 +77,22 @@ def test_corrected_choice_of_unknown_classes(spark):
     rows = spark.createDataFrame([([0.0, 0.0, 0.0], -1), ([0.0, 5.0, 0.0], 1), ([1.0, 1.0, 1.0], 2)], "z array<double>, cur int")
     got = rulings.corrected_choice(rows, train, "z", "y", "cur").collect()
     assert [r.choice for r in got][1] == 1 and len(got) == 3
+
+
+def test_cancelled_streams(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    stream = lives.watch(spark, f"{tmp_path}/in", "id long")
+    asked = []
+    endless = lives.ingest(stream, f"{tmp_path}/a", f"{tmp_path}/ca", every="1 second")
+    assert lives.run_until(endless, lambda: asked.append(1) or len(asked) > 2, 0.5) == "cancelled" and not endless.isActive
+    assert lives.run_until(lives.ingest(stream, f"{tmp_path}/b", f"{tmp_path}/cb"), lambda: False, 0.5) == "completed"
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 3
+
+
+def test_headers_of_bytes(spark):
+    import struct
+
+    raw = b"".join(struct.pack("<i", len(p)) + p for p in (bytes([12]) + struct.pack("<iiB", 34, 1, 1) + b"g\0" + struct.pack("<h", 0) + b"l\0", bytes([13]) + struct.pack("<H", 33) + b"maps/a.bsp\0", bytes([20])))
+    df = spark.createDataFrame([("x", bytearray(raw)), ("y", None)], "content_sha string, content binary")
+    got = demos.headers(df).collect()
+    assert [(r.content_sha, r.protocol, r.maps, r.complete) for r in got] == [("x", 34, ["a"], False)]

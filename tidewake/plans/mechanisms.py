@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from ..functions import scalars as S
 from ..functions.scoreboard import scoreboard
 from ..functions.text import ITEMS, WEAPONS
 from ..operators import encode, filters, geometry, labels, rulings
-from ..sources import datasets, maps, records
+from ..sources import datasets, demos, files, maps, records
+from ..sources import frames as recorded
 from .track import CTE, frames
 from .trajectory import LAG, alive, ground, hold, track
 
@@ -459,3 +461,160 @@ def corrected_choices(spark, sf):
     d = frames(spark, sf).withColumn("y_", F.when(k < 6, 0).when(k < 9, 1).otherwise(2)).withColumn("cur", (C("k") % 4 - 1).cast("int"))
     d = d.withColumn("z_", F.array(C("vx") / 300, C("vy") / 100, C("vz") / 150))
     return rulings.corrected_choice(d.where("rec % 3 <> 0"), d.where("rec % 3 = 0"), "z_", "y_", "cur").select("seq", "choice")
+
+
+def _recording(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One recording of a user's frames: each told by its change from the one before, or the sixth before, or whole."""
+    rows = pdf.sort_values("seq")
+    told = []
+    for n, (seq, x, z, vx, health, armor, k) in enumerate(zip(*(rows[c].tolist() for c in ("seq", "x", "z", "vx", "health", "armor", "k"))), 1):
+        stats = [0, int(health), 0, 0, 0, int(armor)] + [0] * 26
+        player = {"ox": x % 4000, "oz": z, "vx": vx, "stats": stats, "gunframe": int(k) % 50}
+        world = {int(e): {"ox": float(k), "frame": int(k) % 300, "model1": 1 + int(k) % 7} for e in range(1, 6) if (k + e) % 4}
+        told.append((n, -1 if n % 9 == 1 or n < 7 else n - 1 if n % 2 else n - 6, player, world))
+    return pd.DataFrame({"content_sha": [str(rows["rec"].iloc[0])], "content": [recorded.encode(told, "q2dm1")]})
+
+
+def _recordings(spark, sf):
+    d = frames(spark, sf).select("rec", "seq", "x", "z", "vx", "health", "armor", "k")
+    return d.groupBy("rec").applyInPandas(_recording, "content_sha string, content binary")
+
+
+_NUMBERED = ", n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rec ORDER BY seq) AS frame FROM t)"
+
+
+@query(f"""{_NUMBERED} SELECT CAST(rec AS VARCHAR) AS recording_id, (frame - 1) * 100 AS time_ms, x % 4000 AS x, z, vx, CAST(health AS BIGINT) AS health, CAST(armor AS BIGINT) AS armor, CAST(k % 50 AS BIGINT) AS gunframe FROM n""")
+def decoded_states(spark, sf):
+    """Player states of recordings, through their wire format and back."""
+    d = records.demultiplex(recorded.decoded(_recordings(spark, sf)))["player_states"]
+    v = lambda c, i: F.get(c, i).cast("double")
+    stat = lambda i: F.get("stats", i).cast("long")
+    return d.select("recording_id", "time_ms", v("origin", 0).alias("x"), v("origin", 2).alias("z"), v("velocity", 0).alias("vx"), stat(1).alias("health"), stat(5).alias("armor"), C("gunframe").cast("long"))
+
+
+@query(f"""{_NUMBERED} SELECT CAST(rec AS VARCHAR) AS recording_id, CAST(frame AS BIGINT) AS frame, e AS number, CAST(k AS DOUBLE) AS x, CAST(k % 300 AS BIGINT) AS pose, CAST(1 + k % 7 AS BIGINT) AS model FROM n, (SELECT CAST(range AS BIGINT) AS e FROM range(1, 6)) r WHERE (k + e) % 4 <> 0""")
+def decoded_entities(spark, sf):
+    """Entities of every frame, told by changes from earlier ones."""
+    d = records.demultiplex(recorded.decoded(_recordings(spark, sf)))["entity_frames"].select("recording_id", C("frame_number").cast("long").alias("frame"), F.explode("entities").alias("e"))
+    return d.select("recording_id", "frame", C("e.number").cast("long").alias("number"), F.get("e.origin", 0).cast("double").alias("x"), C("e.frame").cast("long").alias("pose"), F.get("e.models", 0).cast("long").alias("model"))
+
+
+@query("SELECT CAST(rec AS VARCHAR) AS recording_id, 34 AS protocol, CASE WHEN rec % 3 = 0 THEN 'truncated' WHEN rec % 3 = 1 THEN 'unsupported command 31' END AS reason, CASE WHEN rec % 3 = 0 THEN -3 WHEN rec % 3 = 1 THEN -2 ELSE 0 END AS code FROM (SELECT DISTINCT rec FROM t) r")
+def decode_results(spark, sf):
+    """Recordings that are cut off, that lose the stream, and whole ones."""
+    d = _recordings(spark, sf)
+    whole = F.expr("substring(content, 1, length(content) - 4)")  # without the mark of the end
+    rest = F.col("content_sha").cast("int") % 3
+    lost = F.concat(whole, F.unhex(F.lit("010000001F")))
+    d = d.withColumn("content", F.when(rest == 0, F.expr("substring(content, 1, length(content) - 6)")).when(rest == 1, lost).otherwise(C("content")))
+    r = recorded.decoded(d).where("kind IN ('decode_result', 'segment')")
+    both = r.select("recording_id", F.from_json("payload", "protocol int, reason string, return_code int").alias("p"))
+    return both.groupBy("recording_id").agg(F.max("p.protocol").alias("protocol"), F.max("p.reason").alias("reason"), F.max("p.return_code").alias("code"))
+
+
+@query(f"{_NUMBERED} SELECT CAST(rec AS VARCHAR) AS recording_id, 34 AS protocol, 'q2dm1' AS map, CAST(COUNT(*) + 2 AS BIGINT) AS packets, FALSE AS complete FROM n GROUP BY rec")
+def scanned_headers(spark, sf):
+    """What the cheap scan of a recording's start tells; it stops at the first frame."""
+    d = demos.headers(_recordings(spark, sf))
+    return d.select(C("content_sha").alias("recording_id"), "protocol", F.get("maps", 0).alias("map"), C("packets").cast("long"), "complete")
+
+
+def _archive(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A zip of each of a user's first recordings: plain members, a member that is no recording, an archive inside."""
+    import io
+    import zipfile
+
+    def pack(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    rec, keys = pdf["rec"].iloc[0], sorted(pdf["seq"].tolist())[:3]
+    deep = pack([(f"deep{k}.DM2", f"deep {k}") for k in keys[:1]])
+    return pd.DataFrame({"path": [f"/in/{rec}.zip"], "content": [pack([*((f"a/{k}.dm2", f"frame {k}") for k in keys), ("readme.txt", "no"), ("more.zip", deep)])]})
+
+
+@query(f"""{_NUMBERED}, m AS (SELECT rec, seq || '.dm2' AS member, 'frame ' || seq AS body FROM n WHERE frame <= 3 UNION ALL SELECT rec, 'deep' || seq || '.DM2', 'deep ' || seq FROM n WHERE frame = 1)
+SELECT '/in/' || rec || '.zip' AS path, member, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS content_sha FROM m""")
+def archived_recordings(spark, sf):
+    """Recordings in archives and in archives inside them."""
+    d = frames(spark, sf).select("rec", "seq").groupBy("rec").applyInPandas(_archive, "path string, content binary")
+    found = files.expanded(d).where("error IS NULL")
+    return found.select("path", F.element_at(F.split("name", "/"), -1).alias("member"), C("bytes").cast("long"), "content_sha")
+
+
+def _map_file(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A map of each region: its nations are teleports, destinations and items."""
+    region, found = pdf["n_regionkey"].iloc[0], [{"classname": "worldspawn", "message": "made"}]
+    for n in sorted(pdf["n_nationkey"].tolist()):
+        found.append({"classname": "trigger_teleport", "model": "*1", "target": f"t{n % 4}", "origin": f"{n} 0 0"})
+        found.append({"classname": "misc_teleporter_dest", "targetname": f"t{n % 6}", "origin": f"{10 * n} 5 -3", **({"spawnflags": "2048"} if n % 5 == 0 else {})})
+        found.append({"classname": "item_health_large", "origin": f"1 {n} 2"})
+    raw = maps.written(found, [[0, 0, 0, 1, 1, 1], [-8, -8, 0, 8, 8, 16]], [[0, 0, 0], [64, 32, 16]])
+    return pd.DataFrame({"path": [f"/maps/r{region}.bsp"], "content": [raw if region % 4 != 3 else raw[:-5]]})
+
+
+def _maps(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_regionkey", "n_nationkey")
+    return maps.inspected(n.groupBy("n_regionkey").applyInPandas(_map_file, "path string, content binary"))
+
+
+_MADE = """WITH n AS (SELECT *, n_nationkey AS k, 'r' || n_regionkey AS map, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation WHERE n_regionkey % 4 <> 3)
+, e AS (SELECT map, CAST(3 * rn - 2 AS INTEGER) AS id, 'trigger_teleport' AS classname, k + 0e0 AS x, 0 AS spawnflags, 't' || (k % 4) AS name, k FROM n
+  UNION ALL SELECT map, CAST(3 * rn - 1 AS INTEGER), 'misc_teleporter_dest', k * 10e0, CASE WHEN k % 5 = 0 THEN 2048 ELSE 0 END, 't' || (k % 6), k FROM n UNION ALL SELECT map, CAST(3 * rn AS INTEGER), 'item_health_large', 1e0, 0, NULL, k FROM n)"""
+
+
+@query(f"{_MADE} SELECT map, id, classname, x, spawnflags FROM e UNION ALL SELECT DISTINCT map, 0, 'worldspawn', 0e0, 0 FROM n", start="")
+def map_entities(spark, sf):
+    """Entities of map files; a broken file has an error and no entities."""
+    return maps.entity_rows(_maps(spark, sf)).select("map", C("id").cast("int"), "classname", (F.get("origin", 0) + 0.0).alias("x"), "spawnflags")
+
+
+@query(f"""{_MADE}, d AS (SELECT map, name, COUNT(*) AS c, ANY_VALUE(x) AS dx FROM e WHERE classname = 'misc_teleporter_dest' AND spawnflags = 0 GROUP BY map, name)
+SELECT e.map, e.id, e.x - 8 AS low, e.x + 8 AS high, CASE WHEN d.c = 1 THEN d.dx END AS to_x, CASE WHEN d.c = 1 THEN 7e0 END AS to_z, CASE WHEN d.c IS NULL THEN 'missing_target' WHEN d.c > 1 THEN 'ambiguous_target' END AS reason, COALESCE(d.c = 1, FALSE) AS resolved
+FROM e LEFT JOIN d ON e.map = d.map AND e.name = d.name WHERE e.classname = 'trigger_teleport'""", start="")
+def map_mechanisms(spark, sf):
+    """Teleports of maps with their one destination."""
+    d = maps.mechanisms(_maps(spark, sf))
+    return d.select("map", C("id").cast("int"), (F.get("low", 0) + 0.0).alias("low"), (F.get("high", 0) + 0.0).alias("high"), (F.get("destination", 0) + 0.0).alias("to_x"), (F.get("destination", 2) + 0.0).alias("to_z"), C("unresolved_reason").alias("reason"), "resolved")
+
+
+@query(""", d AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE k % 29 = 0)
+SELECT seq, rule FROM d, (VALUES (7, 'x_shape'), (11, 'x_finite'), (13, 'y_shape'), (17, 'masks'), (19, 'events_within_masks'), (23, 'split')) r(m, rule) WHERE k % m = 0 UNION ALL SELECT seq, 'repeated' FROM t WHERE k % 29 = 0""")
+def dataset_rules(spark, sf):
+    """Samples of a dataset that break its rules."""
+    on = lambda n: C("k") % n == 0
+    step = F.array(C("y") / 100, F.when(on(11), 1e9).otherwise(0.5))
+    d = frames(spark, sf)
+    d = d.unionByName(d.where(on(29)))
+    d = d.select(
+        "seq", F.when(on(7), F.array(step)).otherwise(F.array(step, step)).alias("x"), F.when(on(13), F.array(F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("y"),
+        F.array(F.when(on(17), 2).otherwise(1), F.lit(0)).alias("y_mask"), F.array(F.when(on(19), 1).otherwise(0)).alias("events"), F.array(F.lit(0)).alias("event_mask"), F.when(on(23), "all").otherwise("train").alias("split"),
+    )
+    return datasets.dataset_violations(d, "seq", 2, 2, 2)
+
+
+_GRID = [(a, b) for a in (-1, 0, 1) for b in range(5)]
+
+
+@query(f"""SELECT seq, CAST(ARG_MIN(a, (s, a, b)) AS INTEGER) AS a, CAST(ARG_MIN(b, (s, a, b)) AS INTEGER) AS b, MIN(s) AS score FROM (SELECT seq, a, b, ABS(vx - a * 100) + ABS(z - b * 25) AS s FROM t, (VALUES {", ".join(map(str, _GRID))}) g(a, b)) c GROUP BY seq""")
+def best_candidates(spark, sf):
+    """The candidate of a fixed grid that explains a row best."""
+    grid = spark.createDataFrame(_GRID, "a int, b int")
+    d = geometry.best_candidate(frames(spark, sf), grid, lambda c: F.abs(C("vx") - c["a"] * 100) + F.abs(C("z") - c["b"] * 25))
+    return d.select("seq", "best.candidate.a", "best.candidate.b", "best.score")
+
+
+_BRUSHES = [(150.3 * i + 0.1, -10.3, 10.7, 150.3 * i + 60.2, 20.9, 70.3) for i in range(12)]
+
+
+@query(f"{LAG} SELECT seq, NOT ({' OR '.join(_slab(_P, _NOW, b[:3], b[3:]) for b in _BRUSHES)}) AS clear FROM q WHERE dt = 100")
+def clear_rays(spark, sf):
+    """Steps whose ray meets no brush."""
+    plane = lambda n, d: F.struct(*(F.lit(float(v)).alias(f"n{a}") for a, v in zip("xyz", n)), F.lit(float(d)).alias("d"))
+    sides = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    box = lambda b: F.array(*(plane([-v for v in n], -b[i]) for i, n in enumerate(sides)), *(plane(n, b[3 + i]) for i, n in enumerate(sides)))
+    d = frames(spark, sf).withColumns({f"p{a}": F.lag(a).over(track()) for a in "xyz"} | {"dt": C("time_ms") - F.lag("time_ms").over(track())}).where("dt = 100")
+    return d.select("seq", geometry.ray_clear([C(c) for c in _P], [C(c) for c in _NOW], F.array(*map(box, _BRUSHES))).alias("clear"))

@@ -105,6 +105,12 @@ def recordings(spark: SparkSession, path: str, limits: Limits = Limits(), extrac
 
     extract=False lists members without expanding them (S3).
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(dm2|mvd2|zip|rar)$"))
+    return expanded(files, limits, extract)
+
+
+def expanded(files: DataFrame, limits: Limits = Limits(), extract: bool = True) -> DataFrame:
+    """recordings() of rows (path, content)."""
 
     def run(batches):
         import hashlib
@@ -116,7 +122,6 @@ def recordings(spark: SparkSession, path: str, limits: Limits = Limits(), extrac
                 out["content_sha"] = out["content"].map(lambda c: None if c is None else hashlib.sha256(c).hexdigest())
                 yield out
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(dm2|mvd2|zip|rar)$"))
     return files.select("path", "content").mapInPandas(run, "path string, address string, name string, bytes long, content binary, error string, content_sha string")
 
 

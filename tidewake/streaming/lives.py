@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +69,16 @@ def lives(stream: DataFrame, gap_ms: int = 250, arrival: str = "seq") -> DataFra
     return rows.groupBy("rec").applyInPandasWithState(_life(gap_ms, arrival), LIFE, STATE, "append", "NoTimeout")
 
 
+def run_until(query: StreamingQuery, cancelled: Callable[[], bool], every: float = 1.0) -> str:
+    """Waits for a query's end and asks every so many seconds whether it is cancelled; then it is stopped between two
+    micro-batches' commits, so a restart goes on where it was. completed or cancelled; a query that fails raises."""
+    while not query.awaitTermination(every):
+        if cancelled():
+            query.stop()
+            return "cancelled"
+    return "completed"
+
+
 class Progress(StreamingQueryListener):
     """A numbered log of a session's stream events, and a way to ask whether one has ended."""
 
