@@ -244,7 +244,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
     score is the estimated probability of label 1; predicted is 1 from THRESHOLD on. Null text counts as
-    empty and is scored like it. Nothing but the text enters a score, so repeated rows agree.
+    empty and is scored like it. Nothing but the text enters a score, so repeated rows agree and null or equal doc_ids don't
+    matter. Very long texts are scored whole, an empty table gives no rows, other columns are ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
