@@ -73,3 +73,14 @@ def record_status(spark, sf):
 def projected_scan(spark, sf):
     """A pruned, filtered scan."""
     return spark.read.parquet(f"{sf}/events.parquet").where("value > 100").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("""WITH f AS (SELECT user_id AS rec, event_id AS came, event_id - CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 0 THEN 500 ELSE 0 END AS seq, epoch_us(ts) // 1000 AS t FROM events)
+SELECT rec, t AS time_ms FROM (SELECT *, GREATEST(COALESCE(MAX(seq) OVER (PARTITION BY rec ORDER BY came ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) AS top FROM f) m WHERE seq <= top""")
+def stream_late(spark, sf):
+    """Rows whose number doesn't increase in the order of arrival: told, not dropped."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    s = _events(spark, sf).select(
+        F.col("user_id").alias("rec"), (F.col("event_id") - F.when(k % 10 == 0, 500).otherwise(0)).alias("seq"), ms("ts").alias("time_ms"), F.lit(50).cast("long").alias("health"), F.col("event_id").alias("came")
+    )
+    return _finished(spark, lives.lives(s, HOURS6, "came")).where("ended = 'late'").select("rec", F.col("first_ms").alias("time_ms"))
