@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 from . import decontaminate, fingerprints, html_text, langid, licenses, ngram_join, oracles, pieces, quality, secrets, urls
-from .common import table
+from .common import spread, table
+
+
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def pages(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def op1_secret_scans(spark, sf_dir):
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return secrets.digest(documents(spark, sf_dir))
 
 
 def op2_html_extraction(spark, sf_dir):
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(pages(spark, sf_dir))
 
 
 def op3_decontamination(spark, sf_dir):
-    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_license_scans(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op5_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,7 +40,7 @@ def op6_fingerprints(spark, sf_dir):
 
 
 def op7_ngram_join(spark, sf_dir):
-    return ngram_join.classes(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(documents(spark, sf_dir))
 
 
 def op8_url_filters(spark, sf_dir):
@@ -40,11 +48,11 @@ def op8_url_filters(spark, sf_dir):
 
 
 def op9_language_id(spark, sf_dir):
-    return langid.predict(table(spark, sf_dir, "documents"))
+    return langid.predict(documents(spark, sf_dir))
 
 
 def op10_sentencepiece(spark, sf_dir):
-    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+    return pieces.encode_documents(documents(spark, sf_dir))
 
 
 QUERIES = {
