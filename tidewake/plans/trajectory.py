@@ -308,9 +308,9 @@ def _epochs(d):
 
 @query(f"{EPOCHS} SELECT t.seq, COUNT(e.eid) AS n_covering, CASE WHEN COUNT(e.eid) = 1 THEN MIN(e.eid) END AS eid FROM t LEFT JOIN e ON t.rec = e.rec AND t.time_ms >= start_ms AND t.time_ms <= end_ms AND (gone = 0 OR t.time_ms < gone) GROUP BY t.seq")
 def interval_attribution(spark, sf):
-    """The one interval that covers a row; none or several stay unknown."""
+    """The one interval that covers a row; none or several stay unknown. Joined by time bins, so a key with very many rows and intervals is split."""
     d = frames(spark, sf)
-    out = intervals.unique_interval(d.select("rec", "seq", "time_ms"), _epochs(d), ["rec"], ["seq"], "time_ms", "start_ms", "end_ms", ["eid"], identity_end="gone")
+    out = intervals.unique_interval(d.select("rec", "seq", "time_ms"), _epochs(d), ["rec"], ["seq"], "time_ms", "start_ms", "end_ms", ["eid"], identity_end="gone", bins=5000)
     return out.select("seq", "n_covering", "eid")
 
 
