@@ -24,8 +24,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1  # 0: the start
 #: Nats per character by which the random model must win.
 MARGIN = 0.5
-#: One identifier in so many trains; the share, not the count, is fixed, so the sample grows with the corpus.
-SAMPLE = 64
 #: Elements of a block: what a fold may copy for each element.
 BLOCK = 128
 #: Stands for each code point of a base span where the models look; no candidate holds it.
@@ -112,21 +110,20 @@ def _cells(token: Column) -> Column:
 def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios, random over ordinary, of all SIDE * SIDE transitions (add-half smoothing).
 
-    The labelled samples are the corpus's own: values that the fixed patterns caught are random strings;
-    one in SAMPLE of the letter-only identifiers (by hash, so copies agree) are ordinary. Only counts by
+    The labelled samples are the corpus's own, all of them: values that the fixed patterns caught are random strings;
+    letter-only identifiers are ordinary, summed up by identifier first, each as often as it stands in the corpus. Only counts by
     cell reach the driver: SIDE * SIDE * 2 rows at most, whatever the input. Without either kind of
     sample the smoothing stands alone: uniform transitions.
     """
     text = F.col("text")
     caught = docs.where(text.rlike("|".join(BASE.values()))).select(F.explode(base_spans(text)).alias("s"))
     value = F.when(F.col("s.kind") == "assign", F.regexp_replace("s.value", ASSIGN_VALUE, "")).otherwise(F.col("s.value"))
-    random = caught.select(value.alias("token")).where(f"token RLIKE '^{CANDIDATE[:-5]}{{8,}}$' AND token RLIKE '[0-9]'").select(F.lit(1).alias("random"), "token")
-    # Whole documents are dealt out by hash of their words, not read in part: every text is scanned.
+    random = caught.select(value.alias("token")).where(f"token RLIKE '^{CANDIDATE[:-5]}{{8,}}$' AND token RLIKE '[0-9]'").select(F.lit(1).alias("random"), "token", F.lit(1).cast("long").alias("n"))
     words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))).alias("token"))
-    plain = words.where((F.length("token") >= 4) & (F.pmod(F.xxhash64("token"), F.lit(SAMPLE)) == 0)).select(F.lit(0).alias("random"), "token")
+    plain = words.where(F.length("token") >= 4).groupBy("token").agg(F.count("*").alias("n")).select(F.lit(0).alias("random"), "token", "n")
     cased = F.explode(F.array("token", F.upper("token"), F.lower("token")))  # neither model may lean on one case
-    cells = random.union(plain).select("random", cased.alias("token")).select("random", F.explode(_cells(F.col("token"))).alias("cell"))
-    counts = {(r["random"], r["cell"]): r["n"] for r in cells.groupBy("random", "cell").agg(F.count("*").alias("n")).collect()}
+    cells = random.union(plain).select("random", "n", cased.alias("token")).select("random", "n", F.explode(_cells(F.col("token"))).alias("cell"))
+    counts = {(r["random"], r["cell"]): r["n"] for r in cells.groupBy("random", "cell").agg(F.sum("n").alias("n")).collect()}
     return _ratios(counts)
 
 
