@@ -152,6 +152,11 @@ def nickname(c: Column | str) -> Column:
     return F.when(c.rlike(r"[^\x{0}-\x{FF}]"), _nickname_unicode(F.when(c.rlike(r"[^\x{0}-\x{FF}]"), c))).otherwise(nickname_ascii(c))
 
 
+def payload(c: Column | str, fields: str) -> Column:
+    """The named fields of a JSON object as a struct (a DDL schema); broken JSON and absent fields are null."""
+    return F.from_json(col(c), fields)
+
+
 def name_close(actual: Column, wanted: Column) -> Column:
     """T4 for one normalised name: equal; contained with at most 8 more characters; or one typo in a long name."""
     n = F.length(wanted)

@@ -133,6 +133,23 @@ def majority(df: DataFrame, groups: Sequence[str], label: str) -> DataFrame:
     return n.groupBy(*groups).agg(best.alias("b")).select(*groups, (-F.col("b.__neg")).alias("majority"), F.col("b.n").alias("n"))
 
 
+def participant_facts(df: DataFrame, participant: Sequence[str], kind: str, amount: str, total: str = "total") -> DataFrame:
+    """Per participant and kind (a weapon, an item) how many facts there are and what they add up to; facts without a kind don't count."""
+    return df.where(F.col(kind).isNotNull()).groupBy(*participant, kind).agg(F.count("*").alias("n"), F.sum(amount).cast("long").alias(total))
+
+
+def coverage(df: DataFrame, by: Sequence[str], size: str, content: Column) -> DataFrame:
+    """Rows, total size and distinct contents by each of the columns alone, and of everything, in one pass."""
+    d = df.select(*by, F.col(size).alias("__size"), F.md5(content).alias("__h"))
+    sets = [[F.col(c)] for c in by] + [[]]
+    return d.groupingSets(sets, *by).agg(F.count("*").alias("n"), F.sum("__size").alias("total"), F.countDistinct("__h").alias("contents"))
+
+
+def distinct_units(df: DataFrame, by: Sequence[str], unit: str, positive: Column, name: str = "units") -> DataFrame:
+    """Per group its distinct units, and those with a positive row."""
+    return df.groupBy(*by).agg(F.countDistinct(unit).alias(name), F.countDistinct(F.when(positive, F.col(unit))).alias("positive"))
+
+
 def capped_events(df: DataFrame, groups: Sequence[str], order: Sequence[str], payload: Sequence[str], most: int) -> DataFrame:
     """The count of all of a group's events, and a list of the first most of them."""
     d = df.withColumn("__rn", F.row_number().over(W.partitionBy(*groups).orderBy(*order)))

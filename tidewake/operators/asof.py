@@ -85,6 +85,11 @@ def dictionary_asof(rows: DataFrame, settings: DataFrame, keys: Sequence[str], i
     return asof_backward(rows, settings.select(*keys, index, seq, text), [*keys, index], [seq], [seq], [text], prefix="__").withColumnRenamed(f"__{text}", name)
 
 
+def catalog(records: DataFrame, locations: DataFrame, record: str, location: str, current: Column, take: Sequence[str]) -> DataFrame:
+    """The distinct columns take of records and their locations of the current run."""
+    return records.join(locations.where(current), records[record] == locations[location]).select(*take).distinct()
+
+
 def attach(rows: DataFrame, groups: DataFrame, on: Sequence[str], drop: Column) -> DataFrame:
     """Rows with their group's columns; rows without a group, or whose group drop holds for, are left out."""
     return rows.join(groups.where(~drop), list(on))

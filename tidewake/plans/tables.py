@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import text as X
@@ -106,7 +105,7 @@ def top_phrases(spark, sf):
 @query("SELECT l_suppkey, l_returnflag, COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2")
 def participant_facts(spark, sf):
     """Counts per participant and kind."""
-    return read(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("total"))
+    return A.participant_facts(read(spark, sf, "lineitem"), ["l_suppkey"], "l_returnflag", "l_quantity")
 
 
 @query("""WITH s AS (SELECT o_custkey, COUNT(*) AS players, BOOL_OR(o_orderstatus = 'P') AS teams, CASE o_custkey % 3 WHEN 0 THEN 'team_mod' WHEN 1 THEN 'ffa_mod' ELSE 'generic' END AS adapter FROM orders GROUP BY 1)
@@ -122,8 +121,8 @@ def mode_classification(spark, sf):
 @query("SELECT lang, source, COUNT(*) AS n, CAST(SUM(n_chars) AS BIGINT) AS chars, COUNT(DISTINCT md5(text)) AS texts FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def coverage_totals(spark, sf):
     """Frequencies, coverage and totals in one pass."""
-    d = read(spark, sf, "documents").select("lang", "source", "n_chars", F.md5("text").alias("h"))
-    return d.groupingSets([[C("lang")], [C("source")], []], "lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.countDistinct("h").alias("texts"))
+    d = A.coverage(read(spark, sf, "documents"), ["lang", "source"], "n_chars", C("text"))
+    return d.withColumnsRenamed({"total": "chars", "contents": "texts"})
 
 
 @query("SELECT o_custkey, sha256(string_agg(sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)), ',' ORDER BY o_orderkey)) AS fingerprint FROM orders GROUP BY 1")
@@ -141,7 +140,7 @@ def order_free_digest(spark, sf):
 @query("SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS customers, COUNT(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS positive FROM orders GROUP BY 1")
 def distinct_groups(spark, sf):
     """A17."""
-    return read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("customers"), F.countDistinct(F.when(C("o_orderstatus") == "F", C("o_custkey"))).alias("positive"))
+    return A.distinct_units(read(spark, sf, "orders"), ["o_orderpriority"], "o_custkey", C("o_orderstatus") == "F", "customers")
 
 
 @query("WITH n AS (SELECT l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1) SELECT l_linenumber, n, ROUND(GREATEST(LEAST(SQRT((SELECT AVG(n) FROM n) / n), 4.0), 0.25), 9) AS weight FROM n")
@@ -323,8 +322,7 @@ def unattached_rows(spark, sf):
 @query("SELECT DISTINCT c_custkey, c_name, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F'")
 def catalog_join(spark, sf):
     """J10."""
-    o = read(spark, sf, "orders").where("o_orderstatus = 'F'")
-    return read(spark, sf, "customer").join(o, C("c_custkey") == C("o_custkey")).select("c_custkey", "c_name", "o_orderpriority").distinct()
+    return asof.catalog(read(spark, sf, "customer"), read(spark, sf, "orders"), "c_custkey", "o_custkey", C("o_orderstatus") == "F", ["c_custkey", "c_name", "o_orderpriority"])
 
 
 @query("""WITH s AS (SELECT s_suppkey, 'k' || (s_suppkey % 40) AS target FROM supplier), d AS (SELECT 'k' || (n_nationkey % 18) AS target, n_nationkey FROM nation), n AS (SELECT target, COUNT(*) AS n, MIN(n_nationkey) AS k FROM d GROUP BY 1)
@@ -513,7 +511,7 @@ def unique_names(spark, sf):
 @query("SELECT event_type, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, COUNT(*) AS n FROM events GROUP BY 1")
 def json_payload(spark, sf):
     """T12."""
-    d = read(spark, sf, "events").withColumn("p", F.from_json("props", T.StructType([T.StructField("k", T.LongType())])))
+    d = read(spark, sf, "events").withColumn("p", X.payload("props", "k long"))
     return d.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("*").alias("n"))
 
 
