@@ -312,9 +312,8 @@ def _with_host(prints: np.ndarray, name: str) -> np.ndarray:
     return mix(prints.view(np.uint64) ^ _tokens([name])[:1].sum(dtype=np.uint64))
 
 
-def _judge(page: str, gone: np.ndarray | None) -> tuple[str, int, int]:
-    """(text, tokens that shared runs took, tokens that markup alone took). gone: the tokens outside the article that runs cover."""
-    has, found = blocks(page)
+def _judge(has: bool, found: list[tuple[str, int]], gone: np.ndarray) -> tuple[str, int, int]:
+    """(text, tokens that shared runs took, tokens that markup alone took) of a page's blocks. gone: the tokens outside the article that runs cover."""
     kept, shared, marked, k = [], 0, 0, 0
     for t, kind in found:
         if kind == 2:
@@ -356,11 +355,12 @@ def _finish(sent):
         for pdf in batches:
             out = []
             for i, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                stream = _tokens([t for t, kind in blocks(page or "")[1] if kind != 2])
+                has, found = blocks(page or "")
+                stream = _tokens([t for t, kind in found if kind != 2])
                 prints = _with_host(runs(stream), host(url))
                 at = np.searchsorted(known, prints)
                 hit = known[np.minimum(at, len(known) - 1)] == prints if len(known) else np.zeros(len(prints), bool)
-                out.append((i, url, *_judge(page or "", _covered(stream, hit))))
+                out.append((i, url, *_judge(has, found, _covered(stream, hit))))
             yield _result(out)
 
     return run
@@ -371,10 +371,11 @@ def _finish_joined(batches):
     for pdf in batches:
         out = []
         for i, url, page, places in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["covered"]):
-            stream = _tokens([t for t, kind in blocks(page or "")[1] if kind != 2])
+            has, found = blocks(page or "")
+            stream = _tokens([t for t, kind in found if kind != 2])
             hit = np.zeros(len(stream), bool)
             hit[np.asarray(places if places is not None else [], np.int64)] = True
-            out.append((i, url, *_judge(page or "", _covered(stream, hit))))
+            out.append((i, url, *_judge(has, found, _covered(stream, hit))))
         yield _result(out)
 
 
